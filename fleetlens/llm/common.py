@@ -86,3 +86,46 @@ def plain_words(text: bytes | None) -> list[bytes]:
 def renamed_apart(df: DataFrame, needed: list[str]) -> DataFrame:
     """Only the columns an operator needs, so that further ones can't clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
+
+
+_CUT = re.compile(rb"[\x20\x09-\x0D]")
+PIECE_BYTES = 4_000_000
+
+
+def word_array(data: bytes | None, get: Callable[[bytes], Any], dtype: str) -> Any:
+    """get(word) of each SPACE_WORD, as an array; a very long text is taken apart piece by piece."""
+    import numpy as np
+
+    if not data:
+        return np.zeros(0, dtype)
+    out, at = [], 0
+    while at < len(data):
+        cut = _CUT.search(data, at + PIECE_BYTES)
+        end = cut.start() if cut else len(data)
+        own = (data if at == 0 and end == len(data) else data[at:end]).split()
+        out.append(np.fromiter(map(get, own), dtype, count=len(own)))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash; forgets all words when it holds too many."""
+
+    MOST = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_hashes(data: bytes | None) -> Any:
+    """64-bit hashes of the words of a text, in order."""
+    return word_array(data, worker_state("word hashes", WordHashes).__getitem__, "uint64")
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()

@@ -122,7 +122,7 @@ class WordEnd:
 
     def __init__(self, path: str, by_count: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = re.compile(r"[^ \t\n\r\f\v]+").findall
+        self.cut = str.split
         ids = self.tokenizer.encode(self.SENTINEL, add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
         self.cache = PieceCache(self.cut, self.encode_many, len if by_count else lambda ids: ids.astype("<u4").tobytes())
@@ -147,14 +147,18 @@ class WordEnd:
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def take_apart(self, texts: list[str]) -> list[list[str] | None]:
+        """Pieces of each text, None for one that is encoded whole. The vocabulary lower-cases; doing so before makes fewer pieces."""
+        return [None if UNSURE.search(x) else self.cut(x.lower() if x.isascii() and "<|" not in x else x) for x in texts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if UNSURE.search(x) else self.cut(x) for x in texts]
+        cut = self.take_apart(texts)
         self.cache.fill([c for c in cut if c])
         get = self.cache.__getitem__
         return [np.array(self.encode_whole(x), dtype="<u4").tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, cut, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
-        cut = [None if UNSURE.search(x) else self.cut(x) for x in texts]
+        cut = self.take_apart(texts)
         self.cache.fill([c for c in cut if c])
         get = self.cache.__getitem__
         return [len(self.encode_whole(x)) if c is None else sum(map(get, c)) for x, c in zip(texts, cut, strict=True)]

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import byte_bpe, token_counts
+from fleetlens.llm import byte_bpe, decontaminate, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
