@@ -129,3 +129,13 @@ def word_hashes(data: bytes | None) -> Any:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+#: The most ids that are broadcast; beyond it, a join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """df with only the rows whose `column` is among ids (or, with left_anti, is not); ids are broadcast if they are counted and few."""
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
