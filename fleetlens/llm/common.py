@@ -139,3 +139,13 @@ def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", mos
     """df with only the rows whose `column` is among ids (or, with left_anti, is not); ids are broadcast if they are counted and few."""
     few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
+
+
+def with_lists(df: DataFrame, lists: DataFrame, column: str, added: str) -> DataFrame:
+    """df left-joined with `lists`, one row an id. Rows of df that have none don't move, if the ids that have one are few enough to broadcast."""
+    ids = lists.select(column)
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return df.join(lists, column, "left")
+    ids = F.broadcast(ids)
+    without = df.join(ids, column, "left_anti").withColumn(added, F.lit(None).cast(lists.schema[added].dataType))
+    return df.join(ids, column, "left_semi").join(lists, column).unionByName(without)

@@ -66,7 +66,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(todo):
             break
-        h = mix(elements + np.uint64(i + 1) * STEP)
+        h = mix(elements + np.multiply([i + 1], STEP, dtype=np.uint64))
         to = (h % np.uint64(t)).astype(np.int64) if i < t else np.full(len(h), i - t)
         np.minimum.at(flat, owner * t + to, (np.uint64(i) << np.uint64(48)) | (mix(h) >> np.uint64(16)))
         left = np.zeros(len(sets), bool)
@@ -142,8 +142,9 @@ def prefixes(members: DataFrame, percent: int) -> DataFrame:
             out: list[tuple] = []
             for p, x, component, room, weight, diff in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(diff, np.int64)
-                # overlap o with any y: (100 + percent) * o >= weight + weight(y) - room, and weight(y) >= percent * o
-                least = max(1, -(-(weight - room) // 100))
+                # overlap o with y: (100 + percent) * o >= weight + weight(y) - room, where weight(y) >= percent * o;
+                # if x is linked with p, then y is not, and weight(y) > room
+                least = weight // (100 + percent) + 1 if weight <= room else max(1, -(-(weight - room) // 100))
                 out += [(p, x, component, e) for e in own[: max(0, len(own) - least + 1)].tolist()]
                 if len(out) > 50_000:
                     yield _batch(out, batch)
