@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import byte_bpe, decontaminate, near_dedup, substring_dedup, token_counts, token_files
+from fleetlens.llm import byte_bpe, decontaminate, language_id, near_dedup, substring_dedup, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_language_id": language_id.op8_language_id,
     "op9_token_files": token_files.op9_token_files,
 }
 
