@@ -8,7 +8,7 @@ A text is rejected if it has no letter, or if its margin is under `min_margin`.
 Bounds of the sample (documented parameters): SAMPLE_ROWS rows of each language, those of MIN_BYTES to MAX_BYTES bytes first, in the order of a hash of their
 ids; DICTIONARY_BYTES of their words. Only whole texts are predicted, all of them.
 
-Defined cases: text null or without a letter: `und`, score 0, rejected; nothing learned (no labelled row): the same; equal sizes: the language with more sampled
+Defined cases: text null or without a letter: `und`, score 0, rejected; nothing learned (no labelled row): the same; equal sizes: the language with more labelled
 rows, then the first by name, score 0, rejected; rows are independent, so repeated rows and ids, null ids and further columns change nothing.
 """
 
@@ -43,7 +43,8 @@ def dictionaries(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, size: int = DI
     for r in common.semi(labelled.where("text IS NOT NULL").select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"]).select("lang", F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0)), F.col("text").substr(1, 16 * size)).collect():
         found.setdefault(r[0], []).append((r[1], r[2]))
     out = []
-    for lang, texts in sorted(found.items(), key=lambda x: (-len(x[1]), x[0])):
+    frequent = {r[0]: r[1] for r in own.groupBy("lang").count().where(F.col("lang").isin(list(found))).collect()} if found else {}
+    for lang, texts in sorted(found.items(), key=lambda x: (-frequent.get(x[0], 0), x[0])):
         words: list[bytes] = []
         held = 0
         for _, text in sorted(texts):
