@@ -66,7 +66,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     for i in range(2 * t):
         if not len(todo):
             break
-        h = mix(elements + np.multiply([i + 1], STEP, dtype=np.uint64))
+        h = mix(elements + np.array([i + 1], np.uint64) * STEP)
         to = (h % np.uint64(t)).astype(np.int64) if i < t else np.full(len(h), i - t)
         np.minimum.at(flat, owner * t + to, (np.uint64(i) << np.uint64(48)) | (mix(h) >> np.uint64(16)))
         left = np.zeros(len(sets), bool)
