@@ -27,6 +27,8 @@ from fleetlens.llm import common
 
 SAMPLE_ROWS, MIN_BYTES, MAX_BYTES, DICTIONARY_BYTES = 64, 500, 8000, 65_536
 LEVEL, BLOCK_BYTES, MIN_MARGIN = 5, 4096, 0.005
+#: A text under SHORT_BYTES is compressed at a higher level and behind zeros, or it would be stored as it is whatever the dictionary.
+SHORT_BYTES, SHORT_LEVEL, PADDING = 256, 12, bytes(120)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -64,17 +66,23 @@ class Classifier:
 
         self.min_margin, self.coders = min_margin, []
         for lang, data in learned:
-            shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=level)
-            self.coders.append((lang, zstandard.ZstdCompressor(level=level, dict_data=shared).compress))
+            own = []
+            for at in (level, SHORT_LEVEL):
+                shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                shared.precompute_compress(level=at)
+                own.append(zstandard.ZstdCompressor(level=at, dict_data=shared).compress)
+            self.coders.append((lang, *own))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
         if not text or not self.coders or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         data = normal(text)
-        blocks = [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)] or [b""]
-        sizes = [sum(map(len, map(compress, blocks))) for _, compress in self.coders]
+        if len(data) < SHORT_BYTES:
+            sizes = [len(compress(PADDING + b" " + data + b" ")) for _, _, compress in self.coders]
+        else:
+            blocks = [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)]
+            sizes = [sum(map(len, map(compress, blocks))) for _, compress, _ in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
         score = (second - sizes[best]) / second
