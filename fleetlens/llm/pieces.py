@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 #: Characters that some engines take as white space and others don't, or that aren't ASCII.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Characters from the first combining one on; below it, text is composed and lower-cases one character at a time.
+HIGH = re.compile("[\u0300-\U0010ffff]")
+#: ASCII punctuation without the apostrophe, which may begin a contraction, and without what special tokens have.
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Pieces that a worker keeps; further ones are encoded for each slice anew.
 CACHE_PIECES = 250_000
 
@@ -118,38 +123,54 @@ class ByteLevel:
 class WordEnd:
     """A .json vocabulary whose matches never hold white space; by_count keeps numbers of ids in place of ids."""
 
-    SENTINEL = "\x01"
-
     def __init__(self, path: str, by_count: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = str.split
-        ids = self.tokenizer.encode(self.SENTINEL, add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
-        self.cache = PieceCache(self.cut, self.encode_many, len if by_count else lambda ids: ids.astype("<u4").tobytes())
-
-    def encode_many(self, pieces: list[str]) -> list[np.ndarray]:
-        """Pieces are encoded as one text with a lone control character between them, and cut apart at its id."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if self.mark is not None and self.SENTINEL not in p]
-        for first in range(0, len(joined), 2000):
-            part = joined[first : first + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.SENTINEL} ".join(pieces[i] for i in part), add_special_tokens=False).ids, dtype=np.int64)
-            stops = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            if len(stops) != len(part):  # can't happen while the mark is one id of its own
-                continue
-            for i, a, b in zip(part, [0, *(s + 1 for s in stops[:-1])], stops, strict=True):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=np.int64)
+        # For words of small letters below U+0300, which its normaliser and pattern leave as they are: only white space to cut at, and merges.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.by_count, self.cut = by_count, str.split
+        self.cache = PieceCache(self.cut, self.encode_many, lambda ids: ids)
+
+    def values(self, encoded: list) -> list:
+        return [len(e.ids) if self.by_count else array("I", e.ids).tobytes() for e in encoded]
+
+    def encode_words(self, words: list[str]) -> dict:
+        """Values of words of small letters, encoded as one text and cut apart where words end."""
+        out = {}
+        for first in range(0, len(words), 2000):
+            part = words[first : first + 2000]
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            for word, i, j in zip(part, [0, *stops[:-1]], stops, strict=True):
+                out[word] = j - i if self.by_count else data[4 * i : 4 * j]
         return out
 
+    def encode_many(self, pieces: list[str]) -> list:
+        """Values of pieces. One of small letters with punctuation behind it is cut before that, as the pattern does: a run of such characters is a match."""
+        bases = [p.rstrip(PUNCTUATION) for p in pieces]
+        plain = [b.isalpha() and b.islower() and (b.isascii() or not HIGH.search(b)) for b in bases]
+        known = self.encode_words(list({b for b, x in zip(bases, plain, strict=True) if x and b not in self.cache}))
+        tails = list({p[len(b) :] for p, b, x in zip(pieces, bases, plain, strict=True) if x and len(p) > len(b)})
+        after = dict(zip(tails, self.values(self.tokenizer.encode_batch_fast(tails, add_special_tokens=False)), strict=True)) | {"": 0 if self.by_count else b""}
+        others = iter(self.values(self.tokenizer.encode_batch_fast([p for p, x in zip(pieces, plain, strict=True) if not x], add_special_tokens=False)))
+        return [(known[b] if b in known else self.cache[b]) + after[p[len(b) :]] if x else next(others) for p, b, x in zip(pieces, bases, plain, strict=True)]
+
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def take_apart(self, texts: list[str]) -> list[list[str] | None]:
-        """Pieces of each text, None for one that is encoded whole. The vocabulary lower-cases; doing so before makes fewer pieces."""
-        return [None if UNSURE.search(x) else self.cut(x.lower() if x.isascii() and "<|" not in x else x) for x in texts]
+        """Pieces of each text, None for one that is encoded whole. The vocabulary lower-cases, and composes characters from U+0300 on; in a
+        text without those, lower-casing before makes fewer pieces and changes nothing."""
+        out = []
+        for x in texts:
+            if not x.isascii() and HIGH.search(x):
+                out.append(None if UNSURE.search(x) else self.cut(x))
+            else:
+                out.append(None if UNSURE.search(x) else self.cut(x if "<|" in x else x.lower()))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = self.take_apart(texts)
