@@ -23,7 +23,7 @@ HIGH = re.compile("[\u0300-\U0010ffff]")
 #: ASCII punctuation without the apostrophe, which may begin a contraction, and without what special tokens have.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Pieces that a worker keeps; further ones are encoded for each slice anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 600_000
 
 
 class PieceCache(dict):
