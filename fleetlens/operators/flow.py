@@ -54,6 +54,8 @@ class EntityFlow:
     """A function (frame, context) -> anything, applied to each entity's rows in time order."""
 
     def __init__(self, function: Callable, *, entity_key: str, time_key: str | None, output: str = "string", columns: Sequence[str] | None = None, tiebreak: Sequence[str] = (), sort_entities: bool = True, max_entities: int | None = None, checkpoint: CheckpointBackend | None = None, checkpoint_dir: str | None = None, resume: bool = True, retry: RetryPolicy | None = None):
+        if not callable(function):
+            raise TypeError("an entity flow needs a function (frame, context)")
         self.function, self.entity_key, self.time_key, self.output, self.columns, self.tiebreak = function, entity_key, time_key, output, columns, tuple(tiebreak)
         self.sort_entities, self.max_entities, self.resume = sort_entities, max_entities, resume
         self.checkpoint = checkpoint or (LocalCheckpoint(checkpoint_dir) if checkpoint_dir else None)

@@ -128,7 +128,8 @@ class JSONLinesSource(FileSource):
         self.types = types
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(f"{self.types}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(self.path)
+        parsed = F.from_json("value", f"{self.types}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+        return spark.read.text(self.path).where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
 
 
 def load_fixture(spark: SparkSession, path: str) -> DataFrame:
