@@ -134,28 +134,34 @@ def pivoted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(members: DataFrame, percent: int) -> DataFrame:
-    """p, x, component and each element of the prefix of D(x): any partner that x can have shares one of them."""
-    kind = common.type_of(members, "p")
+    """p, x, component, kind and element, of the elements of D(x) of which any partner that x can have shares one.
+
+    The overlap o with a partner y has (100 + percent) * o >= weight + weight(y) - room. With one of x and y not linked to p, its weight over room,
+    o > weight / (100 + percent) for the other one; and as weight(y) >= percent * o, 100 * o >= weight - room. So kind 0: linked with p, its partners aren't;
+    kind 1: not linked, for partners that aren't either; kind 2: what it needs besides, for partners that are."""
+    kind_of_id = common.type_of(members, "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for p, x, component, room, weight, diff in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(diff, np.int64)
-                # overlap o with y: (100 + percent) * o >= weight + weight(y) - room, where weight(y) >= percent * o;
-                # if x is linked with p, then y is not, and weight(y) > room
-                least = weight // (100 + percent) + 1 if weight <= room else max(1, -(-(weight - room) // 100))
-                out += [(p, x, component, e) for e in own[: max(0, len(own) - least + 1)].tolist()]
+                short = max(0, len(own) - weight // (100 + percent))
+                if weight <= room:
+                    out += [(p, x, component, 0, e) for e in own[:short].tolist()]
+                else:
+                    long = max(0, len(own) + 1 - max(1, -(-(weight - room) // 100)))
+                    out += [(p, x, component, 1 + (i >= short), e) for i, e in enumerate(own[: max(short, long)].tolist())]
                 if len(out) > 50_000:
                     yield _batch(out, batch)
                     out = []
             yield _batch(out, batch)
 
     def _batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(like.column(i).type for i in range(3)), pa.int64()], strict=True)], names=["p", "x", "component", "element"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(like.column(i).type for i in range(3)), pa.int32(), pa.int64()], strict=True)], names=["p", "x", "component", "kind", "element"])
 
-    return members.select("p", "x", "component", "room", "weight", "diff").mapInArrow(run, f"p {kind}, x {kind}, component {kind}, element long")
+    return members.select("p", "x", "component", "room", "weight", "diff").mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long")
 
 
 def confirmed(candidates: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -195,8 +201,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     mixed = members.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
     left = common.checkpointed(members.join(mixed, "p"))
     one = prefixes(left, percent)
-    two = one.select("p", F.col("x").alias("y"), F.col("component").alias("other"), "element")
-    candidates = one.join(two, ["p", "element"]).where("x < y AND component <> other").select("p", "x", "y").distinct()
+    two = one.select("p", F.col("x").alias("y"), F.col("component").alias("other"), F.col("kind").alias("of_y"), "element")
+    fitting = "component <> other AND (kind > 0 AND of_y = 0 OR kind = 1 AND of_y = 1 AND x < y)"
+    candidates = one.where("kind > 0").join(two.where("of_y < 2"), ["p", "element"]).where(fitting).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("p").alias("p"))  # any pivot's bound is exact
     more = common.checkpointed(confirmed(candidates, left, percent))
     last = connected(links.unionByName(more).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))) if not more.isEmpty() else first
     classes = reps.select("set_hash", F.col("doc_id").alias("rep")).join(last.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
