@@ -136,7 +136,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
-    """df with only the rows whose `column` is among ids (or, with left_anti, is not); ids are broadcast if they are counted and few."""
+    """df with only the rows whose `column` is among ids (or, with left_anti, is not); ids are computed once, and broadcast if they are counted and few."""
+    ids = checkpointed(ids)
     few = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
 

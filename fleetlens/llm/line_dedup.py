@@ -8,8 +8,9 @@ Deletion neighbourhood, for an edit bound of 1. Of each distinct line, the strin
 * alone, against whole lines: the longer line has one more character.
 A key's earliest line is enough for all of its lines, so a key makes no pairs among them. Each find is confirmed by levenshtein().
 
-Which lines send variants: two lines one edit apart have the first half or the second half in common (of the shorter one's length).
-So each line first sends four hashed halves, and only lines that share one with a different line send variants, of the half that may differ.
+Which lines send variants: two lines one edit apart have the first half or the second half in common (of the shorter one's length), and, of
+eight windows, all but one. So each line first sends four hashed halves; lines that share one with a different line send hashes of all but
+each window; and lines that share such a one send variants, of that window's places.
 
 Defined cases: null texts stay null; a text whose lines all go becomes empty (dedup_lines can drop such rows); rows with equal ids are taken as copies
 of one document; rows with a null id are left alone; further columns stay as they are; an empty table gives an empty result.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm import common
 
 MIN_CHARS = 20
+WINDOWS = 8
 
 
 def _hash(*parts: Column | int) -> Column:
@@ -36,56 +38,73 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumns({"h1": _hash(F.col("line")), "h2": _hash(1, F.col("line"))})
 
 
-def _halves() -> Column:
+def _halves() -> dict[str, Column]:
     """Hashes of the first and second half, for a shorter line of this length and of one character less."""
     n, line = F.length("line"), F.col("line")
+    out = {}
+    for k, shorter in enumerate((n, n - 1)):
+        half = F.floor(shorter / 2).cast("int")
+        out |= {f"front{k}": _hash(shorter, 0, line.substr(F.lit(1), half)), f"back{k}": _hash(shorter, 1, line.substr(n - shorter + half + 1, shorter - half))}
+    return out
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, id, ...) whose key a different id has, too."""
+    several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    return common.semi(keys, several, "key")
+
+
+def _all_but_windows() -> Column:
+    """For a shorter line of this length and of one character less: the line but for each window, hashed, with the window's places."""
+    n, line = F.length("line"), F.col("line")
     out = []
     for shorter in (n, n - 1):
-        half = F.floor(shorter / 2).cast("int")
-        out += [F.struct(_hash(shorter, 0, line.substr(F.lit(1), half)).alias("key"), F.lit(True).alias("front")), F.struct(_hash(shorter, 1, line.substr(n - shorter + half + 1, shorter - half)).alias("key"), F.lit(False).alias("front"))]
+        for w in range(WINDOWS):
+            before, after = F.floor(shorter * w / WINDOWS).cast("int"), (shorter - F.floor(shorter * (w + 1) / WINDOWS)).cast("int")
+            out.append(F.struct(_hash(shorter, w, line.substr(F.lit(1), before), line.substr(n - after + 1, after)).alias("key"), (before + 1).alias("low"), (n - after).alias("high")))
     return F.array(*out)
 
 
-def _suspects(lines: DataFrame) -> DataFrame:
-    """h1, h2 of lines that share a half with a different line; front, back: whether it is the first or the second."""
-    keys = lines.select("h1", "h2", F.explode("halves").alias("half")).select("h1", "h2", "half.*")
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    return keys.join(shared, "key").groupBy("h1", "h2").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
-
+def _variants(lines: DataFrame) -> DataFrame:
+    """key, role, first, line of the variants of lines (first, line, places). Roles: 0 a replaced character, 1 one too many, 2 the line itself.
 
-def _variants(suspects: DataFrame) -> DataFrame:
-    """key, role, first of each variant of suspects (first, line, front, back). Roles: 0 a replaced character, 1 one too many, 2 the line itself."""
-    n = F.length("line")
-    low = F.when(F.col("back"), 1).otherwise(F.greatest(F.floor((n - 1) / 2), F.lit(1)))
-    high = F.when(F.col("front"), n).otherwise(F.least(F.ceil(n / 2) + 2, n))
-    at = suspects.withColumn("i", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    i, line = F.col("i"), F.col("line")
-    cut = at.select("first", "i", F.concat(line.substr(F.lit(1), i - 1), line.substr(i + 1, F.length("line"))).alias("cut"))
-    made = cut.select("first", F.explode(F.array(F.struct(_hash(F.col("cut"), i).alias("key"), F.lit(0).alias("role")), F.struct(_hash(F.col("cut")).alias("key"), F.lit(1).alias("role")))).alias("v"))
-    whole = suspects.select("first", F.struct(_hash(line).alias("key"), F.lit(2).alias("role")).alias("v"))
-    return made.unionByName(whole).select("first", "v.*").distinct()
+    Of a run of equal characters, any deletion leaves the same, so role 1 takes the first of its places alone: no line sends a key twice."""
+    line = F.col("line")
+    at = lines.select("first", "line", "places", F.posexplode("places").alias("j", "i"))
+    i, before = F.col("i"), F.get("places", F.col("j") - 1)
+    cut = F.concat(line.substr(F.lit(1), i - 1), line.substr(i + 1, F.length("line")))
+    new = before.isNull() | (before < i - 1) | (line.substr(i - 1, F.lit(1)) != line.substr(i, F.lit(1)))
+    made = at.select("first", "line", i.alias("i"), cut.alias("cut"), new.alias("new"))
+    one = F.struct(_hash(F.col("cut"), F.col("i")).alias("key"), F.lit(0).alias("role"))
+    two = F.when(F.col("new"), F.struct(_hash(F.col("cut")).alias("key"), F.lit(1).alias("role")))
+    edited = made.select("first", "line", F.explode(F.array(one, two)).alias("v")).where("v IS NOT NULL")
+    return edited.unionByName(lines.select("first", "line", F.struct(_hash(line).alias("key"), F.lit(2).alias("role")).alias("v"))).select("first", "line", "v.*")
 
 
-def _near(distinct: DataFrame, suspects: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+def _near(lines: DataFrame, distinct: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
     """`first` of the distinct lines that are one edit from an earlier one."""
-    wanted = distinct.join(suspects, ["h1", "h2"]).select("first", "front", "back")
-    texts = _lines(common.semi(docs, wanted.select(F.col("first.doc_id").alias("doc_id")).distinct(), "doc_id"), min_chars).select(F.struct("doc_id", "pos").alias("first"), "line").dropDuplicates(["first"])
+    suspects = _shared(lines.select(F.col("h1").alias("id"), F.explode(F.array("front0", "back0", "front1", "back1")).alias("key"))).select(F.col("id").alias("h1")).distinct()
+    wanted = common.checkpointed(distinct.join(suspects, "h1").select("first"))
+    texts = _lines(common.semi(docs, wanted.select(F.col("first.doc_id").alias("doc_id")).distinct(), "doc_id"), min_chars).select(F.struct("doc_id", "pos").alias("first"), "line", F.col("h1").alias("id")).dropDuplicates(["first"])
     own = common.checkpointed(wanted.join(texts, "first"))
-    rows = _variants(own)
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("first")))
-    earliest = rows.groupBy("key").agg(*[least(r).alias(f"e{r}") for r in (0, 1, 2)], F.count("*").alias("n")).where("n > 1").drop("n")
+    windows = _shared(own.select("id", "first", F.explode(_all_but_windows()).alias("w")).select("id", "first", "w.*"))
+    places = windows.groupBy("first").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", F.greatest("low", "high")))))).alias("places"))
+    rows = _variants(own.select("first", "line").join(places, "first").withColumn("places", F.filter("places", lambda i: i <= F.length("line"))))
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = common.checkpointed(common.semi(rows, several, "key"))
+    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "line")))
+    earliest = met.groupBy("key").agg(*[least(r).alias(f"e{r}") for r in (0, 1, 2)])
     earlier = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
-    found = rows.join(earliest, "key").withColumn("earlier", earlier).where("earlier < first").select("first", "earlier").distinct()
-    one, two = own.select("first", "line"), own.select(F.col("first").alias("earlier"), F.col("line").alias("other"))
-    return found.join(one, "first").join(two, "earlier").where(F.levenshtein("line", "other", 1).between(0, 1)).select("first").distinct()
+    found = met.join(earliest, "key").withColumn("earlier", earlier).where("earlier.first < first")
+    return found.where(F.levenshtein("line", "earlier.line", 1).between(0, 1)).select("first").distinct()
 
 
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and `gone`, the places of its lines that go."""
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    lines = common.checkpointed(_lines(own, min_chars).select("doc_id", "pos", "h1", "h2", _halves().alias("halves")))
+    lines = common.checkpointed(_lines(own, min_chars).withColumns(_halves()).drop("line"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"))
-    near = common.checkpointed(_near(distinct, _suspects(lines), own, min_chars)).withColumn("near", F.lit(True))
+    near = common.checkpointed(_near(lines, distinct, own, min_chars)).withColumn("near", F.lit(True))
     doubtful = distinct.join(near, "first", "left").where("copies > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc_id", "pos", "h1", "h2").join(doubtful, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
