@@ -1,10 +1,10 @@
 """Quality rules: counts of each text, and cross-document line frequency. DataFrame functions only.
 
 Method: the normalised lines (lower-cased, trimmed) of each document are hashed; a line that more than MAX_DOCS distinct documents of one
-host (`source`) have is removed, and a document that loses more than MAX_LOST percent of its distinct lines' words is rejected.
+host (`source`) have is removed, and a document that loses more than MAX_LOST percent of its distinct lines' characters is rejected.
 
 Repeated words, within a row: hashes of all 3-word windows are packed with their places and sorted, so equal ones become neighbours;
-each place whose whole hash has an equal neighbour covers three words, and the sorted places add up to the union.
+each place whose window has an equal neighbour covers three words, and the sorted places add up to the union.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows with equal ids are taken as copies of one document and count once;
 rows with a null id count for no line and lose none; further columns are ignored; an empty table gives an empty result.
@@ -12,7 +12,7 @@ rows with a null id count for no line and lose none; further columns are ignored
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import common
@@ -22,26 +22,23 @@ SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _lost_percent_exceeds(lost: Column, total: Column, percent: int) -> Column:
-    return 100 * lost > percent * total
-
-
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce("text", F.lit(""))
     trimmed = docs.select("doc_id", text.alias("text"), F.btrim(text, F.lit(SPACE)).alias("body"))
     words = trimmed.select("doc_id", "text", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", SPACES)).alias("words"))
-    # places need bits enough for the number of words
-    bits = F.greatest(F.ceil(F.log2(F.size("words") + F.lit(1))), F.lit(1)).cast("int")
-    hashed = words.select("doc_id", "text", F.size("words").alias("n"), bits.alias("bits"), F.when(F.size("words") > 2, F.slice(F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2))), 1, F.size("words") - 2)).otherwise(F.array().cast("array<bigint>")).alias("h"))
-    cleared = lambda x: F.call_function("shiftleft", F.call_function("shiftright", x, F.col("bits")), F.col("bits"))
-    packed = hashed.withColumn("packed", F.sort_array(F.transform("h", lambda x, i: cleared(x).bitwiseOR(i.cast("long")))))
-    key = lambda x: F.call_function("shiftright", x, F.col("bits"))
-    alike = lambda a, b: F.coalesce(a == b, F.lit(False))
-    near = packed.withColumn("near", F.filter("packed", lambda x, i: alike(key(x), key(F.get("packed", i + 1))) | alike(key(x), key(F.get("packed", i - 1)))))
-    place = lambda x: (x - cleared(x)).cast("int")
-    whole = lambda x: F.get("h", place(x))
-    found = near.withColumn("places", F.sort_array(F.transform(F.filter("near", lambda x, i: alike(whole(x), whole(F.get("near", i + 1))) | alike(whole(x), whole(F.get("near", i - 1)))), place)))
+    # Places need bits enough for the number of words; the other bits are the hash's, and the whole hash is compared where these agree.
+    bits, n = F.col("bits"), F.size("words")
+    shift = lambda name, x: F.call_function(name, x, bits)
+    window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    sized = words.withColumns({"n": n, "bits": F.greatest(F.ceil(F.log2(n + F.lit(1))), F.lit(1)).cast("int")})
+    made = F.transform("words", lambda x, i: shift("shiftleft", shift("shiftright", F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))).bitwiseOR(i.cast("long")))
+    packed = sized.withColumn("packed", F.sort_array(F.when(n > 2, F.slice(made, 1, n - 2)).otherwise(F.array().cast("array<bigint>"))))
+    neighbours = F.zip_with(F.col("packed"), F.slice("packed", 2, F.greatest(n, F.lit(1))), lambda a, b: F.when(shift("shiftright", a.bitwiseXOR(b)) == 0, F.struct(a.alias("a"), b.alias("b"))))
+    place = lambda x: x.bitwiseAND(shift("shiftleft", F.lit(1).cast("long")) - 1).cast("int")
+    near = packed.withColumn("near", F.filter(neighbours, lambda x: x.isNotNull()))
+    same = F.filter(F.transform("near", lambda x: F.struct(place(x["a"]).alias("a"), place(x["b"]).alias("b"))), lambda x: window(x["a"]) == window(x["b"]))
+    found = near.withColumn("same", same).withColumn("places", F.sort_array(F.array_distinct(F.flatten(F.transform("same", lambda x: F.array(x["a"], x["b"]))))))
     covered = F.aggregate(F.transform("places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - p, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     filled = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return found.select(
@@ -54,31 +51,29 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def lost_words(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, and the words (of distinct lines) that it loses: lines above the limit in its host."""
-    split = F.split(F.lower("text"), "\n")
-    line = lambda x: F.btrim(x, F.lit(SPACE))
-    hashed = F.array_distinct(F.transform(F.filter(split, lambda x: line(x) != ""), lambda x: F.struct(F.xxhash64(line(x)).alias("h1"), F.xxhash64(F.lit(1), line(x)).alias("h2"), F.size(F.split(line(x), SPACES)).alias("w"))))
-    lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(hashed).alias("l")).select("doc_id", "host", "l.*")
-    frequent = lines.groupBy("host", "h1", "h2").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > max_docs).select("host", "h1", "h2")
-    return lines.join(frequent, ["host", "h1", "h2"]).select("doc_id", "h1", "h2", "w").distinct().groupBy("doc_id").agg(F.sum("w").alias("lost"))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, host, h1, h2, size (characters) of each distinct normalised line of each row."""
+    lines = F.array_distinct(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACE))))
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(lines).alias("line")).where("line <> ''")
+    return own.select("doc_id", "host", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("size"))
 
 
-def line_words(text: str = "text") -> Column:
-    """Words in the distinct lines of a text."""
-    lines = F.array_distinct(F.transform(F.split(F.lower(text), "\n"), lambda x: F.btrim(x, F.lit(SPACE))))
-    return F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x == "", 0).otherwise(F.size(F.split(x, SPACES))))
+def depletion(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
+    """doc_id, and the characters of distinct lines that it loses and has, of documents that lose any: lines above the limit in its host."""
+    lines = common.checkpointed(hashed_lines(docs))
+    frequent = lines.groupBy("host", "h1", "h2").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > max_docs).select("host", "h1", "h2")
+    lost = lines.join(frequent, ["host", "h1", "h2"]).select("doc_id", "h1", "h2", "size").distinct().groupBy("doc_id").agg(F.sum("size").alias("lost"))
+    lost = common.checkpointed(lost)
+    total = common.semi(lines, lost.select("doc_id"), "doc_id").select("doc_id", "h1", "h2", "size").distinct().groupBy("doc_id").agg(F.sum("size").alias("total"))
+    return lost.join(total, "doc_id")
 
 
 def judged(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_lost and kept of each row of docs (doc_id, text, source)."""
+    """doc_id, the base counts, base_failed, n_lost (characters) and kept of each row of docs (doc_id, text, source)."""
     own = common.renamed_apart(docs, ["doc_id", "text", "source"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    lost = lost_words(own, max_docs=max_docs)
+    verdict = depletion(own, max_docs=max_docs).select("doc_id", "lost", (100 * F.col("lost") > max_lost * F.col("total")).alias("depleted"))
     base = base_counts(own).withColumn("base_failed", failed)
-    # Only documents that lose lines need their words by distinct lines.
-    totals = common.semi(own.where("doc_id IS NOT NULL"), lost.select("doc_id"), "doc_id").select("doc_id", F.coalesce(line_words(), F.lit(0)).alias("total")).dropDuplicates(["doc_id"])
-    verdict = lost.join(totals, "doc_id").select("doc_id", "lost", _lost_percent_exceeds(F.col("lost"), F.col("total"), max_lost).alias("depleted"))
     return base.join(verdict, "doc_id", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("lost", F.lit(0)).cast("long").alias("n_lost"), (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
 
 
@@ -96,7 +91,7 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM d),
 filled AS (SELECT doc_id, source, raw, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n, trim(lower(raw), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS norm FROM line WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM filled GROUP BY doc_id),
-own AS (SELECT DISTINCT doc_id, coalesce(source, '') AS host, norm, n FROM filled),
+own AS (SELECT DISTINCT doc_id, coalesce(source, '') AS host, norm, length(norm) AS n FROM filled),
 freq AS (SELECT host, norm FROM own GROUP BY host, norm HAVING count(DISTINCT doc_id) > 50),
 loss AS (SELECT o.doc_id, sum(o.n) AS total, coalesce(sum(o.n) FILTER (f.norm IS NOT NULL), 0) AS lost FROM own o LEFT JOIN freq f ON o.host = f.host AND o.norm = f.norm GROUP BY o.doc_id),
 base AS (SELECT d.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, length(array_to_string(w.words, '')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
