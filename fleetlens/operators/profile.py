@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from fleetlens.functions.columns import clipped, ratio, squashed
 from fleetlens.functions.frequency import frequency_text
 from fleetlens.operators import grid
+from fleetlens.operators import series as series_ops
+from fleetlens.operators.durable import stored
 
 LAGS = (7, 12, 24, 30, 52, 168)
+#: Rows from which an entity is spread over many tasks, and rows of a block then.
+HOT_ROWS, BLOCK_ROWS = 20_000_000, 1_000_000
 METRICS = ("missing_rate", "volatility", "trend_strength", "seasonality_strength", "outlier_ratio", "spike_ratio", "flatline_ratio", "sampling_irregularity", "coverage_ratio", "max_gap_seconds", "observation_density", "span_days")
 
 
@@ -33,21 +37,81 @@ def _ordered(series: DataFrame, lags: Sequence[int]) -> DataFrame:
     return third.withColumn("limit", F.stddev_pop("diff").over(whole))
 
 
-def _metrics(series: DataFrame, sigma: float, min_run: int, lags: Sequence[int]) -> DataFrame:
-    """Per entity, the metrics of its rows as they are."""
+def _metrics(series: DataFrame, sigma: float, min_run: int, lags: Sequence[int], hot_rows: int | None = None) -> DataFrame:
+    """Per entity, the metrics of its rows as they are. Entities of more than hot_rows rows go another way (see split())."""
+    size = int(str(series._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if hot_rows is None or size < hot_rows:  # a table of fewer bytes isn't worth the count
+        return _summarised(_ordered(series, lags), sigma, min_run, lags)
+    sizes = series.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("entity")  # at most rows / hot_rows of them
+    hot = stored(sizes)
+    if hot.isEmpty():
+        return _summarised(_ordered(series, lags), sigma, min_run, lags)
+    hot = F.broadcast(hot)
+    usual = _summarised(_ordered(series.join(hot, "entity", "left_anti"), lags), sigma, min_run, lags)
+    return usual.unionByName(_summarised(split(series.join(hot, "entity", "left_semi"), lags), sigma, min_run, lags))
+
+
+def _quantiles(values: DataFrame, column: str, *shares: float) -> DataFrame:
+    """entity, and an array of its exact quantiles (linear between ranks), by global ranks: no task holds an entity's values."""
+    ranked = series_ops.numbered_globally(values.where(F.col(column).isNotNull()).select("entity", column), column, within=["entity"], name="r")
+    sizes = ranked.groupBy("entity").agg(F.count("*").alias("n"))
+    at = lambda q: (F.col("n") - 1) * F.lit(q)
+    near = ranked.join(sizes, "entity").where(reduce(lambda a, b: a | b, [F.abs(F.col("r") - 1 - at(q)) < 1 for q in shares]))
+    value = lambda k: F.max(F.when(F.col("r") - 1 == k, F.col(column)))
+    ends = [(value(F.floor(at(q))), value(F.ceil(at(q))), F.max(at(q) - F.floor(at(q)))) for q in shares]
+    return near.groupBy("entity").agg(F.array(*[low + (high - low) * share for low, high, share in ends]).alias("quantiles"))
+
+
+def split(series: DataFrame, lags: Sequence[int], block: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of _ordered() without any window over a whole entity: rows are numbered by ranges and cut into blocks, each with copies of the rows
+    before and behind it that lags and leads reach; figures of whole entities are aggregates, joined to the rows. The gaps' median comes as
+    column median_gap."""
+    reach = max(lags)
+    block = max(block, reach + 1)
+    order = (F.col("us").asc_nulls_last(), F.col("tie"))
+    rows = series.withColumn("absent", F.col("v").isNull())
+    timed = series_ops.numbered_globally(rows, *order, within=["entity"], name="t")
+    numbered = stored(series_ops.numbered_globally(timed, *order, within=["entity", "absent"], name="i").withColumn("i", F.col("i") - 1).withColumn("t", F.col("t") - 1))
+
+    def blocks(df: DataFrame, index: str, before: int, behind: int) -> DataFrame:
+        at, inside = F.floor(F.col(index) / block), F.col(index) % block
+        homes = F.array(at, F.when(inside >= block - before, at + 1), F.when((inside < behind) & (at > 0), at - 1))
+        return df.withColumn("home", at).withColumn("block", F.explode(F.array_compact(homes)))
+
+    by_time = W.partitionBy("entity", "block").orderBy("t")
+    gaps = blocks(numbered, "t", 1, 0).withColumn("gap", (F.col("us") - F.lag("us").over(by_time)) / 1e6).where("block = home").drop("block", "home")
+    gapped = stored(gaps)
+    whole = gapped.groupBy("entity").agg(F.avg("v").alias("mean"))
+    whole = whole.join(_quantiles(gapped, "v", 0.25, 0.75).withColumnRenamed("quantiles", "quartiles"), "entity", "left").join(_quantiles(gapped, "gap", 0.5).select("entity", F.col("quantiles")[0].alias("median_gap")), "entity", "left")
+    centred = gapped.join(F.broadcast(stored(whole)), "entity").withColumn("y", F.col("v") - F.col("mean"))
+    observed = W.partitionBy("entity", "absent", "block").orderBy("i")
+    second = blocks(centred, "i", reach, 1).withColumns({"before": F.lag("v").over(observed), "after": F.lead("v").over(observed)} | {f"y{k}": F.lag("y", k).over(observed) for k in lags})
+    changed = F.when(F.col("before").isNull() | (F.col("before") != F.col("v")), F.col("i"))
+    third = second.where("block = home").withColumn("diff", F.col("v") - F.col("before")).withColumn("own_start", F.last(changed, ignorenulls=True).over(observed.rowsBetween(W.unboundedPreceding, 0))).drop("home")
+    kept = stored(third)
+    # a run may have begun in an earlier block: the last start of the blocks before
+    starts = kept.groupBy("entity", "absent", "block").agg(F.max("own_start").alias("last_start")).withColumn("carried", F.max("last_start").over(W.partitionBy("entity", "absent").orderBy("block").rowsBetween(W.unboundedPreceding, -1))).drop("last_start")
+    limits = kept.groupBy("entity").agg(F.stddev_pop("diff").alias("limit"))
+    full = kept.join(starts, ["entity", "absent", "block"]).withColumn("run_start", F.coalesce("own_start", "carried"))
+    return full.join(F.broadcast(limits), "entity").drop("block", "own_start", "carried")
+
+
+def _summarised(rows: DataFrame, sigma: float, min_run: int, lags: Sequence[int]) -> DataFrame:
+    """The metrics from ordered rows."""
+    median_gap = F.first("median_gap") if "median_gap" in rows.columns else F.percentile("gap", 0.5)
     here = ~F.col("absent")
     q1, q3 = F.col("quartiles")[0], F.col("quartiles")[1]
     outside = (F.col("v") < q1 - 1.5 * (q3 - q1)) | (F.col("v") > q3 + 1.5 * (q3 - q1))
     run = F.col("i") - F.col("run_start") + 1
     run_ends = here & (F.col("after").isNull() | (F.col("after") != F.col("v")))
     index = F.when(here, F.col("i").cast("double"))
-    per = _ordered(series, lags).groupBy("entity").agg(
+    per = rows.groupBy("entity").agg(
         F.count("*").alias("row_count"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"),
         F.min_by("v", F.when(here, F.col("i"))).alias("first"), F.covar_pop(index, "v").alias("cov"), F.var_pop(index).alias("var_i"), F.sum(F.col("y") * F.col("y")).alias("ss"),
         *[F.sum(F.col("y") * F.col(f"y{k}")).alias(f"a{k}") for k in lags],
         F.first("quartiles").alias("q"), F.count_if(here & outside).alias("outliers"), F.count("diff").alias("diffs"), F.first("limit").alias("limit"), F.count_if(F.abs("diff") > sigma * F.col("limit")).alias("spikes"),
         F.coalesce(F.sum(F.when(run_ends & (run >= min_run), run)), F.lit(0)).alias("flat"),
-        F.count("us").alias("times"), F.min("us").alias("from_us"), F.max("us").alias("to_us"), F.percentile("gap", 0.5).alias("median_gap"), F.stddev_pop("gap").alias("gap_sd"), F.max("gap").alias("max_gap"),
+        F.count("us").alias("times"), F.min("us").alias("from_us"), F.max("us").alias("to_us"), median_gap.alias("median_gap"), F.stddev_pop("gap").alias("gap_sd"), F.max("gap").alias("max_gap"),
     )
     n, mean, constant = F.col("n"), F.col("mean"), F.col("low") == F.col("high")
     deviation = F.when(constant, 0.0).otherwise(F.col("sd"))
@@ -71,19 +135,20 @@ def _metrics(series: DataFrame, sigma: float, min_run: int, lags: Sequence[int])
     )
 
 
-def profile(series: DataFrame, *, freq_us: int | None = None, infer: bool = False, agg: str = "mean", sigma: float = 3.0, min_run: int = 3, lags: Sequence[int] | None = None) -> DataFrame:
+def profile(series: DataFrame, *, freq_us: int | None = None, infer: bool = False, agg: str = "mean", sigma: float = 3.0, min_run: int = 3, lags: Sequence[int] | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row for each entity: row_count, effective_row_count, METRICS, expected_freq, status (`ok`, or `all_missing`, whose metrics mean nothing).
 
     With freq_us or infer, metrics are of the entity's grid and so are its times; raw_sampling_irregularity and raw_max_gap_seconds then keep
     those of the rows. An entity whose frequency can't be inferred is profiled as it is. Means and last values leave empty slots out, so only slots with rows
-    are made; sums fill them with 0, and make the grid."""
+    are made; sums fill them with 0, and make the grid. Entities of more than hot_rows rows are spread over many tasks; None says that there are none
+and saves the count."""
     lags = tuple(lags or LAGS)
     if sigma <= 0 or min_run < 2 or any(k < 1 for k in lags):
         raise ValueError("sigma must be positive, min_run at least 2, and lags positive")
     named = lambda df: df.withColumn("status", F.when(F.col("effective_row_count") > 0, "ok").otherwise("all_missing"))
     if freq_us is None and not infer:
-        return named(_metrics(series, sigma, min_run, lags).withColumn("expected_freq", F.lit(None).cast("string")))
-    raw = _metrics(series, sigma, min_run, lags)
+        return named(_metrics(series, sigma, min_run, lags, hot_rows).withColumn("expected_freq", F.lit(None).cast("string")))
+    raw = _metrics(series, sigma, min_run, lags, hot_rows)
     if freq_us is None:
         wide = series.join(grid.inferred_frequency(series), "entity")
         with_freq, width = wide.where("freq_us IS NOT NULL"), F.col("freq_us")
@@ -91,7 +156,7 @@ def profile(series: DataFrame, *, freq_us: int | None = None, infer: bool = Fals
         with_freq, width = series, freq_us
     slots = grid.slot_values(with_freq, width, agg)
     per_slot = grid.dense(slots, agg).select("entity", F.col("slot_us").alias("us"), "v") if agg == "sum" else slots.select("entity", (F.col("origin") + F.col("slot") * F.col("width")).alias("us"), "v")
-    on_grid = _metrics(per_slot.withColumn("tie", F.struct(F.lit(0).alias("none"))), sigma, min_run, lags).drop("coverage_ratio", "max_gap_seconds", "observation_density", "sampling_irregularity", "span_days", "missing_rate", "row_count")
+    on_grid = _metrics(per_slot.withColumn("tie", F.struct(F.lit(0).alias("none"))), sigma, min_run, lags, hot_rows).drop("coverage_ratio", "max_gap_seconds", "observation_density", "sampling_irregularity", "span_days", "missing_rate", "row_count")
     widths = slots.groupBy("entity").agg(F.first("width").alias("width"))
     met = on_grid.join(grid.coverage(slots), "entity").join(widths, "entity")
     count = F.col("grid_slot_count")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.errors import MissingColumns
 from fleetlens.functions.columns import finite, micros
+from fleetlens.operators.durable import stored
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -70,14 +71,19 @@ def batches(df: DataFrame, entity: str, size: int) -> DataFrame:
     return numbered.select(entity, F.floor((F.col("number") - 1) / size).cast("long").alias("batch"))
 
 
-def numbered_globally(df: DataFrame, order: str) -> DataFrame:
-    """df with `number`, its place (from 1) by `order`: ranges are numbered on their own and shifted by the sizes of those before."""
-    spread = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    local = spread.withColumn("__local", F.row_number().over(W.partitionBy("__part").orderBy(order)))
-    sizes = spread.groupBy("__part").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select("__part", before.alias("__before"))  # a row for each partition
-    return local.join(F.broadcast(shifts), "__part").withColumn("number", F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
+def numbered_globally(df: DataFrame, *order: str | Column, within: Sequence[str] = (), name: str = "number") -> DataFrame:
+    """df with its place (from 1) by `order`, within each combination of `within`, by whose columns `order` goes first.
+
+    Rows are dealt by ranges, so a combination with many rows is spread over many tasks; ranges are numbered on their own, and shifted by the sizes of those before.
+    The dealt rows are stored, since a range's bounds may differ when it is dealt again."""
+    keys = [F.col(c) for c in within]
+    spread = stored(df.repartitionByRange(*keys, *[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("__part", F.spark_partition_id()))
+    local = spread.withColumn("__local", F.row_number().over(W.partitionBy("__part", *within).orderBy(*order)))
+    sizes = spread.groupBy(*within, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*within).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.withColumn("__before", before).drop("__n")  # a row for each range and combination in it
+    joined = local.join(F.broadcast(shifts), "__part") if not within else local.join(shifts, [*within, "__part"])
+    return joined.withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
 
 
 def head_rows(df: DataFrame, entity: str, most: int, order: Sequence[str | Column]) -> DataFrame:

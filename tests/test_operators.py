@@ -60,6 +60,23 @@ def test_null_entities_go(spark):
         series.prepare(df, "id", "when", "v")
 
 
+@pytest.mark.parametrize("steps", [1, 4])
+def test_hot_entities_have_the_same_profile(spark, steps):
+    rows = [(e, START + dt.timedelta(minutes=7 * i + i * i % 5), None if i % 11 == 3 else float((i * 7919 + len(e)) % 13 // steps), i) for e, n in (("hot", 700), ("warm", 450), ("cold", 20)) for i in range(n)]
+    own = series.prepare(spark.createDataFrame(rows, "id string, ts timestamp_ntz, v double, n int"), "id", "ts", "v", ["n"])
+    usual = {r.entity: r for r in profile.profile(own, hot_rows=None).collect()}
+    whole = profile._summarised(profile.split(own.where("entity <> 'cold'"), profile.LAGS, 1), 3.0, 3, profile.LAGS)
+    for r in [*profile.profile(own, hot_rows=100).collect(), *whole.collect()]:
+        for metric in ("row_count", "effective_row_count", *profile.METRICS):
+            assert getattr(r, metric) == pytest.approx(getattr(usual[r.entity], metric)), (r.entity, metric)
+
+
+def test_numbers_are_global(spark):
+    numbered = series.numbered_globally(spark.range(1000).withColumn("g", F.col("id") % 3), F.desc("id"), within=["g"])
+    assert {(r.g, r.number) for r in numbered.collect()} == {(g, n) for g in range(3) for n in range(1, 334 + (g == 0))}
+    assert numbered.where("id = 999").first().number == 1
+
+
 def test_grid_starts_at_first_midnight(spark):
     slots = grid.resample(readings(spark, [1.0, 2.0, 3.0], hours=7), parse_frequency("7h")).orderBy("slot_us").collect()
     first = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=slots[0].slot_us)
