@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,9 +16,17 @@ def connection(sf_dir):
     return con
 
 
+def shown(value):
+    """Nulls alike, whole floats as integers (pandas makes floats of integers beside nulls), other floats to nine digits."""
+    if value is None or value is pd.NA or value != value:
+        return "null"
+    if isinstance(value, float):
+        return str(int(value)) if value == int(value) else repr(round(value, 9))
+    return str(value)
+
+
 def rows(frame):
-    shown = [[repr(round(v, 9)) if isinstance(v, float) else str(v) for v in row] for row in frame[sorted(frame.columns)].itertuples(index=False)]
-    return sorted(shown)
+    return sorted([shown(v) for v in row] for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
 def assert_same(spark, sf_dir, query, sql):
