@@ -145,7 +145,12 @@ and saves the count."""
     lags = tuple(lags or LAGS)
     if sigma <= 0 or min_run < 2 or any(k < 1 for k in lags):
         raise ValueError("sigma must be positive, min_run at least 2, and lags positive")
-    named = lambda df: df.withColumn("status", F.when(F.col("effective_row_count") > 0, "ok").otherwise("all_missing"))
+
+    def named(df: DataFrame) -> DataFrame:
+        """With status; and behind a generator of one row, so that gates and rules, which mention metrics often, don't compute them each time."""
+        full = df.withColumn("status", F.when(F.col("effective_row_count") > 0, "ok").otherwise("all_missing"))
+        return full.select(F.explode(F.array(F.struct(*full.columns))).alias("m")).select("m.*")
+
     if freq_us is None and not infer:
         return named(_metrics(series, sigma, min_run, lags, hot_rows).withColumn("expected_freq", F.lit(None).cast("string")))
     raw = _metrics(series, sigma, min_run, lags, hot_rows)
