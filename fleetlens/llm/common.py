@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sys
 import tempfile
@@ -36,15 +37,33 @@ def checkpoint_path(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: States that a worker keeps; the one unused for longest goes first.
+STATES = 3
+
+
 def worker_state(key: Any, build: Callable[[], Any]) -> Any:
-    """What build() returned first in this process; survives from task to task of a reused worker."""
+    """What build() returned first in this process; survives from task to task of a reused worker, for the last STATES keys."""
     held = sys.__dict__.setdefault("_fleetlens_state", {})
-    if key not in held:
-        held[key] = build()
-    return held[key]
+    state = held.pop(key, None)
+    if state is None:
+        while len(held) >= STATES:
+            del held[next(iter(held))]
+        state = build()
+    held[key] = state  # now the last one
+    return state
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system; workers live on beside others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
+    give_back()
     return column.cast(pa.binary()).to_pylist()
 
 

@@ -97,6 +97,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, bytes]], *, level: int = L
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(model.value, level, min_margin)
         for batch in batches:
+            common.give_back()
             found = [judge(x.as_py()) for x in batch.column(at)]
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "rejected"])

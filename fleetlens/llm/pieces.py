@@ -91,7 +91,7 @@ class ByteLevel:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.tokenizer.encode_special_tokens = True
         self.cut = re.compile(r"\s*\S+|\s+").findall
-        self.cache = PieceCache(self.cut, self.encode_many, lambda ids: ids.astype("<u4").tobytes())
+        self.cache = PieceCache(self.cut, self.encode_many, lambda ids: ids.astype("<u4").tobytes(), CACHE_PIECES // 3)  # pieces with capitals and white space repeat less
 
     def encode_many(self, pieces: list[str]) -> list[np.ndarray]:
         """Pieces that begin with white space are encoded as one text and cut apart by their lengths in bytes; merges never cross them."""
