@@ -10,7 +10,7 @@ A key's earliest line is enough for all of its lines, so a key makes no pairs am
 
 Which lines send variants: two lines one edit apart have the first half or the second half in common (of the shorter one's length), and, of
 eight windows, all but one. So each line first sends four hashed halves; lines that share one with a different line send hashes of all but
-each window; and lines that share such a one send variants, of that window's places.
+each window, in rounds if the windows are wide; and lines that share such a one send variants, of that window's places.
 
 Defined cases: null texts stay null; a text whose lines all go becomes empty (dedup_lines can drop such rows); rows with equal ids are taken as copies
 of one document; rows with a null id are left alone; further columns stay as they are; an empty table gives an empty result.
@@ -18,13 +18,15 @@ of one document; rows with a null id are left alone; further columns stay as the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import common
 
 MIN_CHARS = 20
-WINDOWS = 8
+WINDOWS, NARROW = 8, 64
 
 
 def _hash(*parts: Column | int) -> Column:
@@ -54,15 +56,27 @@ def _shared(keys: DataFrame) -> DataFrame:
     return common.semi(keys, several, "key")
 
 
-def _all_but_windows() -> Column:
-    """For a shorter line of this length and of one character less: the line but for each window, hashed, with the window's places."""
+def _windows(lines: DataFrame) -> DataFrame:
+    """first, low, high: the places of lines (id, first, line) in which a different line may have its one edit.
+
+    Round by round, each stretch left is cut into WINDOWS; the line but for each window is hashed, and windows whose hash another line has stay, until
+    they are NARROW. Lines of any length so make few variants. `shorter` is the shorter line's length: this one's, or one less."""
     n, line = F.length("line"), F.col("line")
-    out = []
-    for shorter in (n, n - 1):
-        for w in range(WINDOWS):
-            before, after = F.floor(shorter * w / WINDOWS).cast("int"), (shorter - F.floor(shorter * (w + 1) / WINDOWS)).cast("int")
-            out.append(F.struct(_hash(shorter, w, line.substr(F.lit(1), before), line.substr(n - after + 1, after)).alias("key"), (before + 1).alias("low"), (n - after).alias("high")))
-    return F.array(*out)
+    left = lines.select("id", "first", "line", F.explode(F.array(n, n - 1)).alias("shorter")).withColumns({"before": F.lit(0), "after": F.lit(0)})
+    middle = F.col("shorter") - F.col("before") - F.col("after")
+    longest = lines.agg(F.max(n)).first()[0] or 0
+    done = []
+    for _ in range(max(1, math.ceil(math.log(max(longest, 1) / NARROW, WINDOWS)))):
+        cut = [F.struct((F.col("before") + F.floor(middle * w / WINDOWS)).cast("int").alias("before"), (F.col("shorter") - F.col("before") - F.floor(middle * (w + 1) / WINDOWS)).cast("int").alias("after")) for w in range(WINDOWS)]
+        parts = left.select("id", "first", "line", "shorter", F.explode(F.array(*cut)).alias("w")).select("id", "first", "line", "shorter", "w.*")
+        hashed = parts.withColumn("key", _hash(F.col("shorter"), F.col("before"), F.col("after"), line.substr(F.lit(1), F.col("before")), line.substr(n - F.col("after") + 1, F.col("after"))))
+        kept = common.checkpointed(_shared(hashed.select("id", "first", "shorter", "before", "after", "key")).join(lines.select("first", "line"), "first").drop("key"))
+        done.append(kept.where(middle <= NARROW))
+        left = kept.where(middle > NARROW)
+    found = left
+    for part in done:
+        found = found.unionByName(part)
+    return found.select("first", (F.col("before") + 1).alias("low"), (n - F.col("after")).alias("high"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -87,8 +101,7 @@ def _near(lines: DataFrame, distinct: DataFrame, docs: DataFrame, min_chars: int
     wanted = common.checkpointed(distinct.join(suspects, "h1").select("first"))
     texts = _lines(common.semi(docs, wanted.select(F.col("first.doc_id").alias("doc_id")).distinct(), "doc_id"), min_chars).select(F.struct("doc_id", "pos").alias("first"), "line", F.col("h1").alias("id")).dropDuplicates(["first"])
     own = common.checkpointed(wanted.join(texts, "first"))
-    windows = _shared(own.select("id", "first", F.explode(_all_but_windows()).alias("w")).select("id", "first", "w.*"))
-    places = windows.groupBy("first").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", F.greatest("low", "high")))))).alias("places"))
+    places = _windows(own).groupBy("first").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", F.greatest("low", "high")))))).alias("places"))
     rows = _variants(own.select("first", "line").join(places, "first").withColumn("places", F.filter("places", lambda i: i <= F.length("line"))))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = common.checkpointed(common.semi(rows, several, "key"))

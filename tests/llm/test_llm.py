@@ -180,6 +180,14 @@ def test_quality_cases(spark, odd):
     assert r[0].n_lost == 24 and r[100].kept and r[101].n_lost == 0
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcd ") for _ in range(40_000))
+    edits = [base, base[:17] + "X" + base[18:], base[:39_990] + base[39_991:], base[:20_000] + "Y" + base[20_000:], base[:5] + "Z" + base[6:300] + "Z" + base[301:], base + "!"]
+    df = spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.removed_lines(df).collect()} == {1, 2, 3, 5}
+
+
 def test_line_dedup_random(spark):
     rng = random.Random(2)
 
