@@ -11,7 +11,7 @@ Verification without all pairs of a bucket: each bucket has one pivot p, the mem
 with the other members on full sets. A member x differs from p by R (shingles of p that it lacks) and A (those it adds); with
 g(x) = 5|R| + 4|A|, x is linked with p at 80 % if and only if g(x) <= |p|, and two members x, y are linked if and only if
 9 * |D(x) & D(y)| >= g(x) + g(y) - |p|, where D = R | A. So members of a pivot whose components still differ are joined on
-elements of their difference sets, which are small and mostly their own, with the prefix filter that the bound allows, and
+elements of their difference sets, which are small and mostly their own, with the prefix filter that the bound allows (rare elements first), and
 confirmed by the bound itself, which is exact. Members of one component need no more links, since only reachability is asked for.
 No link that the bands propose is lost, no cap is set, and a group of near copies makes no rows for all its pairs.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.llm import common
@@ -133,8 +134,41 @@ def pivoted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "p").join(right, "x").select("p", "x", "set_p", "set_x").mapInArrow(run, f"p {kind}, x {kind}, room long, weight long, diff binary")
 
 
+def common_elements(members: DataFrame, some: int = 64, most: int = 512) -> DataFrame:
+    """p and, rarest first, the elements that the difference sets of its members often have, for pivots of many members.
+
+    They are told from `some` members of each pivot, and the `most` most frequent ones are kept: this only decides an order, in which
+    prefixes take rare elements first; any order gives all links."""
+    kind = common.type_of(members, "p")
+    few = members.select("p", "x", "diff").withColumn("rank", F.row_number().over(W.partitionBy("p").orderBy(F.xxhash64("x"), "x"))).where(F.col("rank") <= some)
+    lists = few.groupBy("p").agg(F.collect_list("diff").alias("diffs")).where(F.size("diffs") >= 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranked = []
+            for diffs in batch.column(1).to_pylist():
+                elements, counts = np.unique(np.frombuffer(b"".join(diffs), np.uint64), return_counts=True)
+                order = np.lexsort((elements, counts))
+                ranked.append(elements[order[counts[order] > 1][-most:]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranked, pa.binary())], names=["p", "common"])
+
+    return lists.mapInArrow(run, f"p {kind}, common binary")
+
+
+def rare_first(own: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """own with those of its elements that are in `ranked` last, in that order."""
+    if not len(ranked) or not len(own):
+        return own
+    order = np.argsort(ranked)
+    there = ranked[order]
+    at = np.minimum(np.searchsorted(there, own), len(there) - 1)
+    return own[np.argsort(np.where(there[at] == own, order[at] + 1, 0), kind="stable")]
+
+
 def prefixes(members: DataFrame, percent: int) -> DataFrame:
-    """p, x, component, kind and element, of the elements of D(x) of which any partner that x can have shares one.
+    """p, x, component, kind, element, and its rest (elements of D(x) from this one on), weight and room: of the elements of D(x) of which any partner
+    that x can have shares one. The first that two of them share can't have more of both behind it than the lesser rest, so a join may ask
+    (100 + percent) * rest >= weight + weight(y) - room of both sides.
 
     The overlap o with a partner y has (100 + percent) * o >= weight + weight(y) - room. With one of x and y not linked to p, its weight over room,
     o > weight / (100 + percent) for the other one; and as weight(y) >= percent * o, 100 * o >= weight - room. So kind 0: linked with p, its partners aren't;
@@ -144,24 +178,26 @@ def prefixes(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for p, x, component, room, weight, diff in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(diff, np.int64)
+            for p, x, component, room, weight, diff, frequent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = rare_first(np.frombuffer(diff, np.uint64), np.frombuffer(frequent or b"", np.uint64)).view(np.int64)
                 short = max(0, len(own) - weight // (100 + percent))
                 if weight <= room:
-                    out += [(p, x, component, 0, e) for e in own[:short].tolist()]
+                    out += [(p, x, component, 0, e, len(own) - i, weight, room) for i, e in enumerate(own[:short].tolist())]
                 else:
                     long = max(0, len(own) + 1 - max(1, -(-(weight - room) // 100)))
-                    out += [(p, x, component, 1 + (i >= short), e) for i, e in enumerate(own[: max(short, long)].tolist())]
+                    out += [(p, x, component, 1 + (i >= short), e, len(own) - i, weight, room) for i, e in enumerate(own[: max(short, long)].tolist())]
                 if len(out) > 50_000:
                     yield _batch(out, batch)
                     out = []
             yield _batch(out, batch)
 
     def _batch(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(like.column(i).type for i in range(3)), pa.int32(), pa.int64()], strict=True)], names=["p", "x", "component", "kind", "element"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        types = [*(like.column(i).type for i in range(3)), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["p", "x", "component", "kind", "element", "rest", "weight", "room"])
 
-    return members.select("p", "x", "component", "room", "weight", "diff").mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long")
+    ordered = members.join(common_elements(members), "p", "left").select("p", "x", "component", "room", "weight", "diff", "common")
+    return ordered.mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long, rest int, weight long, room long")
 
 
 def confirmed(candidates: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -200,9 +236,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     members = measured.join(first.withColumnRenamed("doc_id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     mixed = members.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
     left = common.checkpointed(members.join(mixed, "p"))
-    one = prefixes(left, percent)
-    two = one.select("p", F.col("x").alias("y"), F.col("component").alias("other"), F.col("kind").alias("of_y"), "element")
-    fitting = "component <> other AND (kind > 0 AND of_y = 0 OR kind = 1 AND of_y = 1 AND x < y)"
+    one = common.checkpointed(prefixes(left, percent))
+    two = one.select("p", F.col("x").alias("y"), F.col("component").alias("other"), F.col("kind").alias("of_y"), "element", F.col("rest").alias("rest_y"), F.col("weight").alias("weight_y"))
+    fitting = f"component <> other AND (kind > 0 AND of_y = 0 OR kind = 1 AND of_y = 1 AND x < y) AND {100 + percent} * least(rest, rest_y) >= weight + weight_y - room"
     candidates = one.where("kind > 0").join(two.where("of_y < 2"), ["p", "element"]).where(fitting).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("p").alias("p"))  # any pivot's bound is exact
     more = common.checkpointed(confirmed(candidates, left, percent))
     last = connected(links.unionByName(more).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))) if not more.isEmpty() else first
