@@ -36,6 +36,7 @@ from fleetlens.llm import common
 from fleetlens.llm.language_id import remainder
 
 VOCABULARY, DISCOUNTED = 65_000, 5
+EXACT = 4096
 CHUNK_TOKENS, CHUNK_DOCS, BUCKET_BYTES = 2_000_000, 60_000, 20_000_000
 #: The end's hash; no word has white space. Numbers of the classes beyond the words: unknown, and the start of a text.
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -177,17 +178,45 @@ def counted(docs: DataFrame, keyed: Callable[[Chunk], tuple[np.ndarray, np.ndarr
     return docs.mapInArrow(parts, COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{COUNTS}, size long, tokens long, of_counts array<long>")
 
 
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Classes of counts: each count up to EXACT its own, then steps of a hundredth."""
+    return np.where(counts <= EXACT, counts, EXACT + 1 + np.floor(100 * np.log(np.maximum(counts, 1) / EXACT))).astype(np.int64)
+
+
 def _frequent(unigrams: DataFrame, most: int) -> list:
-    """(hash, count) of the most frequent tokens, most frequent first."""
+    """(hash, count) of the most frequent tokens, most frequent first, the lower hash first among equals.
+
+    The driver sees a histogram of count classes first. From the class in which the last one falls, only the share of hashes that is needed is fetched
+    (with room for chance, and all of them should that not do), so what it gets is about `most` rows, however many buckets there are."""
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in batch.column(1).to_pylist():
+                classes, n = np.unique(_class(expand(c).astype(np.int64)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n.astype(np.int64))], names=["class", "n"])
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, counts = expand_sorted(k).astype(np.int64), expand(c).astype(np.int64)
-                best = np.lexsort((keys, -counts))[:most]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[best]), pa.array(counts[best])], names=["hash", "n"])
-
-    return unigrams.select("keys", "counts").mapInArrow(top, "hash long, n long").orderBy(F.desc("n"), "hash").limit(most).collect()
+                keys, counts = expand_sorted(k).view(np.int64), expand(c).astype(np.int64)
+                own = _class(counts)
+                take = (own > last) | ((own == last) & (keys / 2.0**64 + 0.5 <= share))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(counts[take])], names=["hash", "n"])
+
+    tables = unigrams.select("keys", "counts")
+    sizes = tables.mapInArrow(histogram, "class long, n long").groupBy("class").agg(F.sum("n")).collect()
+    last, share, above = 0, 1.0, 0
+    for own, n in sorted(map(tuple, sizes), reverse=True):
+        if above + n >= most:
+            f = (most - above) / n
+            last, share = own, f + 10 * math.sqrt(f / n) + 10 / n if own <= EXACT else 1.0
+            break
+        above += n
+    found = tables.mapInArrow(top, "hash long, n long").collect()
+    if share < 1 and len(found) < most:
+        share = 1.0
+        found = tables.mapInArrow(top, "hash long, n long").collect()
+    return sorted(found, key=lambda r: (-r[1], r[0]))[:most]
 
 
 def discounts(of_counts: list[int]) -> np.ndarray:
