@@ -1,17 +1,20 @@
 """LM scoring: a bigram model with Katz backoff, Good-Turing discounts and exactly normalised backoff weights.
 
-The VOCABULARY most frequent training tokens are words of the model; all others are one class, UNKNOWN. Recursively per token:
+Every training token is a word of the model. Per token:
 
-    P(w | h) = d(c) * c / c'(h) if c = c(h, w) > 0, else alpha(h) * P(w)        w, h: words of the model or UNKNOWN
-    P(w) = c(w) / (N + 1), P(UNKNOWN) = (c(UNKNOWN) + 1) / (N + 1)
-    a token in UNKNOWN: times (c(token) + 1) / (its tokens + its distinct tokens + 1), which leaves a slot for tokens never seen
+    P(w | h) = d(c) * c / c'(h) if c = c(h, w) > 0, else alpha(h) * P(w)        alpha(h) = 1 for an h never seen
+    P(w) = c(w) / (N + 1), 1 / (N + 1) for tokens never seen
 
 d is Good-Turing's discount for counts up to DISCOUNTED. alpha(h) makes P(. | h) sum to 1 exactly; c'(h) is c(h), or c(h) + 1 where no count of h is discounted.
 
+With a `vocabulary`, only that many most frequent tokens are words, and all others one class, UNKNOWN, both as w and as h, of P(UNKNOWN) = (c(UNKNOWN) + 1) / (N + 1);
+a token in it: times (c(token) + 1) / (its tokens + its distinct tokens + 1), which leaves a slot for tokens never seen.
+
 Counts cover all training tokens and are kept in partitioned tables: rows of (bucket, sorted keys, counts), a key being a token's 64-bit hash or a pair of
-word numbers. Frequent histories are dealt by pair, so no bucket depends on one of them. To score, documents are packed in chunks; a chunk sends
-each bucket its keys once, and the documents that have them; the bucket sums each document's log probabilities; the chunk's
-sums meet again by chunk. Only arrays of VOCABULARY entries are broadcast.
+numbers of frequent tokens. Frequent histories are dealt by pair, so no bucket depends on one of them. Pairs with a rare token are kept beside that token: with w's count if w is
+rare (side 0), with h's backoff weight if h is (side 1; pairs of two rare tokens on both sides, so each side can tell by itself whether the pair was seen).
+To score, documents are packed in chunks; a chunk sends each bucket its keys once, and the documents that have them; the bucket sums each document's log probabilities; the chunk's
+sums meet again by chunk. Only arrays of the VOCABULARY most frequent tokens are broadcast.
 
 Defined cases: a null text is an empty one (its end alone is scored); with no training text every token is unknown (score: the slot for tokens never seen);
 rows are independent, so repeated rows, ids and null ids each get a score (a null id counts as an empty text in choosing training rows);
@@ -131,6 +134,33 @@ def pairs_of(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return numbers, before.astype(np.uint64) << np.uint64(SHIFT) | numbers.astype(np.uint64)
 
 
+def rare_pairs(chunk: Chunk, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By side: hashes of the rare token of each pair (0: w, 1: h), the other token (its number, or its hash if it is rare, too), and which tokens these are."""
+    numbers, pairs = pairs_of(chunk, words)
+    before = (pairs >> np.uint64(SHIFT)).astype(np.int64)
+    codes = np.where(numbers == words.unknown, chunk.hashes, numbers.astype(np.uint64))
+    codes_before = np.where(before == words.unknown, np.roll(chunk.hashes, 1), before.astype(np.uint64))
+    for side, rare, owner, other in ((0, numbers == words.unknown, codes, codes_before), (1, before == words.unknown, codes_before, codes)):
+        at = np.flatnonzero(rare)
+        yield side, owner[at], other[at], at
+
+
+def is_number(codes: np.ndarray) -> np.ndarray:
+    return codes < np.uint64(1 << SHIFT)
+
+
+def pair_key(owner: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return scramble(owner ^ scramble(other + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys: their places in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 def _cut(buckets: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """Of sorted buckets: each one that occurs, with its stretch."""
     ends = np.searchsorted(buckets, np.arange(n), "right")
@@ -153,6 +183,8 @@ def counted(docs: DataFrame, keyed: Callable[[Chunk], tuple[np.ndarray, np.ndarr
             order = np.argsort(buckets, kind="stable")
             keys, counts, buckets = keys[order], counts[order], buckets[order]
             out = [(b, squeeze_sorted(keys[s]), squeeze(counts[s])) for b, s in _cut(buckets, n)]
+            if not out:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "keys", "counts"])
 
     def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +210,61 @@ def counted(docs: DataFrame, keyed: Callable[[Chunk], tuple[np.ndarray, np.ndarr
     return docs.mapInArrow(parts, COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{COUNTS}, size long, tokens long, of_counts array<long>")
 
 
+RARE = "bucket int, side int, owner binary, other binary, counts binary"
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+RARE_SCHEMA = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("owner", pa.binary()), ("other", pa.binary()), ("counts", pa.binary())])
+BACKOFF_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("s", pa.binary()), ("p", pa.binary())])
+
+
+def counted_rare(docs: DataFrame, words: Callable[[], Words], n: int) -> DataFrame:
+    """RARE: pairs with a rare token, by that token's bucket and sorted by it, and of_counts (pairs of two rare tokens count on side 0 only). One row a bucket and side."""
+
+    def distinct(owner: np.ndarray, other: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, first, inverse = np.unique(pair_key(owner, other), return_index=True, return_inverse=True)
+        owner, other, counts = owner[first], other[first], np.bincount(inverse, None if counts is None else counts.astype(np.float64), len(first)).astype(np.uint64)
+        order = np.argsort(owner)
+        return owner[order], other[order], counts[order]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            for side, owner, other, _ in rare_pairs(chunk, words()):
+                owner, other, counts = distinct(owner, other, None)
+                buckets = (owner % np.uint64(n)).astype(np.int64)
+                order = np.argsort(buckets, kind="stable")
+                owner, other, counts = owner[order], other[order], counts[order]
+                out = [(b, side, squeeze_sorted(owner[s]), squeeze(other[s]), squeeze(counts[s])) for b, s in _cut(buckets[order], n)]
+                if out:
+                    yield batch_of(out, RARE_SCHEMA)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for b, side, owner, other, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = held.setdefault((b, side), [])
+                own.append((expand_sorted(owner), expand(other), expand(c)))
+                if sum(len(x[0]) for x in own[1:]) > 4_000_000:
+                    own[:] = [distinct(*map(np.concatenate, zip(*own, strict=True)))]
+        for (b, side), own in held.items():
+            owner, other, counts = distinct(*map(np.concatenate, zip(*own, strict=True)))
+            new = counts if side == 0 else counts[is_number(other)]
+            of_counts = np.bincount(np.minimum(new, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+            yield batch_of([(b, side, squeeze_sorted(owner), squeeze(other), squeeze(counts), of_counts.tolist())], RARE_SCHEMA.append(pa.field("of_counts", pa.list_(pa.int64()))))
+
+    return docs.mapInArrow(parts, RARE).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{RARE}, of_counts array<long>")
+
+
+def backoff(seen: np.ndarray, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """c'(h) and alpha(h) of histories that occur `seen` times, with sums s of discounted counts and p of their words' P(w)."""
+    full = 1 - p <= 1e-12  # each word follows h: nothing backs off
+    below = np.where(full, s, seen + (s >= seen - 1e-9))
+    return below, np.where(full, 1.0, (1 - s / below) / np.where(full, 1.0, 1 - p))
+
+
 def _class(counts: np.ndarray) -> np.ndarray:
     """Classes of counts: each count up to EXACT its own, then steps of a hundredth."""
     return np.where(counts <= EXACT, counts, EXACT + 1 + np.floor(100 * np.log(np.maximum(counts, 1) / EXACT))).astype(np.int64)
@@ -244,6 +331,7 @@ class Model:
     d: np.ndarray
     below: np.ndarray  # c'(h)
     alpha: np.ndarray
+    whole: bool = False  # every token is a word: also tables of pairs with rare tokens and of rare histories
 
     def words(self) -> Words:
         return Words(self.hashes, self.counts[: len(self.hashes)], self.tokens / (4 * self.buckets) + 1)
@@ -260,8 +348,8 @@ def _held(make: Callable[[], Words]) -> Callable[[], Words]:
     return lambda: common.worker_state(("words", token), make)
 
 
-def train(docs: DataFrame, path: str, *, vocabulary: int = VOCABULARY) -> Model:
-    """Learns from all of docs (doc_id, text); tables are written below path."""
+def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent: int = VOCABULARY) -> Model:
+    """Learns from all of docs (doc_id, text); tables are written below path. Without a vocabulary every token is a word; `frequent` of them are broadcast."""
     spark = docs.sparkSession
     own = common.renamed_apart(docs, ["doc_id", "text"])
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -269,20 +357,27 @@ def train(docs: DataFrame, path: str, *, vocabulary: int = VOCABULARY) -> Model:
     counted(own, lambda c: ((c.hashes % np.uint64(buckets)).astype(np.int64), c.hashes), buckets).write.parquet(f"{path}/unigrams")
     unigrams = spark.read.parquet(f"{path}/unigrams")
     tokens, distinct = (int(x or 0) for x in unigrams.agg(F.sum("tokens"), F.sum("size")).first())
-    frequent = _frequent(unigrams, vocabulary)
-    hashes, counts = np.array([r[0] for r in frequent], np.int64).view(np.uint64), np.array([r[1] for r in frequent], np.int64)
+    top = _frequent(unigrams, min(frequent, (1 << SHIFT) - 2) if vocabulary is None else vocabulary)
+    hashes, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    whole = vocabulary is None
     ends = own.count()
-    model = Model(path, buckets, tokens, distinct, hashes, np.concatenate([counts, [tokens - counts.sum(), ends]]), distinct - len(hashes), np.ones(1), np.ones(1), np.ones(1))
+    model = Model(path, buckets, tokens, distinct, hashes, np.concatenate([counts, [tokens - counts.sum(), ends]]), distinct - len(hashes), np.ones(1), np.ones(1), np.ones(1), whole)
     sent = spark.sparkContext.broadcast((hashes, counts, tokens / (4 * buckets) + 1))
     words = _held(lambda: Words(*sent.value))
 
     def keyed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        pairs = pairs_of(chunk, words())[1]
+        numbers, pairs = pairs_of(chunk, words())
+        if whole:
+            pairs = pairs[(numbers != words().unknown) & (pairs >> np.uint64(SHIFT) != words().unknown)]
         return words().buckets(pairs, buckets), pairs
 
     counted(own, keyed, buckets).write.parquet(f"{path}/pairs")
     pairs = spark.read.parquet(f"{path}/pairs")
-    of_counts = pairs.select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()
+    counts_of = pairs.select("of_counts")
+    if whole:
+        counted_rare(own, words, buckets).write.parquet(f"{path}/rare")
+        counts_of = counts_of.unionByName(spark.read.parquet(f"{path}/rare").select("of_counts"))
+    of_counts = counts_of.select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()
     model.d = discounts([r[1] for r in of_counts] or [0] * (DISCOUNTED + 1))
     d, unigram = model.d, model.unigram()
 
@@ -295,17 +390,81 @@ def train(docs: DataFrame, path: str, *, vocabulary: int = VOCABULARY) -> Model:
                 discounted = np.bincount(inverse, d[np.minimum(counts, DISCOUNTED + 1).astype(np.int64)] * counts)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(discounted), pa.array(np.bincount(inverse, unigram[w]))], names=["h", "s", "p"])
 
-    seen = pairs.select("keys", "counts").mapInArrow(sums, "h long, s double, p double").groupBy("h").agg(F.sum("s"), F.sum("p")).collect()  # a row for each word at most
+    parts = pairs.select("keys", "counts").mapInArrow(sums, "h long, s double, p double")
+    if whole:
+        parts = parts.unionByName(_rare_histories(model, spark))
+    seen = parts.groupBy("h").agg(F.sum("s"), F.sum("p")).collect()  # a row for each frequent token at most
     model.below, model.alpha = model.counts.astype(np.float64), np.ones(len(model.counts))
-    for h, s, p in seen:
-        if 1 - p <= 1e-12:  # each word follows h: nothing backs off
-            model.below[h], model.alpha[h] = s, 1.0
-        else:
-            model.below[h] += s >= model.below[h] - 1e-9
-            model.alpha[h] = (1 - s / model.below[h]) / (1 - p)
+    if seen:
+        h, s, p = (np.array(x) for x in zip(*seen, strict=True))
+        model.below[h], model.alpha[h] = backoff(model.below[h], s, p)
     return model
 
 
+def _rare_histories(model: Model, spark: SparkSession) -> DataFrame:
+    """Writes the table of rare histories: bucket, keys (sorted hashes), below, alpha. Returns h, s, p that rare words add to frequent histories."""
+    n, d, tokens, path, unigram = model.buckets, model.d, model.tokens, model.path, spark.sparkContext.broadcast(model.unigram())
+    rare = spark.read.parquet(f"{path}/rare").select("bucket", F.col("side").alias("role"), "owner", "other", "counts")
+    unigrams = spark.read.parquet(f"{path}/unigrams").select("bucket", F.lit(-1).alias("role"), F.col("keys").alias("owner"), F.lit(None).cast("binary").alias("other"), "counts")
+
+    def sums_by(h: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        own, inverse = np.unique(h, return_inverse=True)
+        return own, *(np.bincount(inverse, x, len(own)) for x in values)
+
+    def from_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Side 0, where the counts of rare words are. Bucket -1: sums of frequent histories; other buckets: P(w) summed for rare histories."""
+        at_bucket, table, values = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            for b, role, owner, other, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                owner, counts = expand_sorted(owner), expand(c)
+                if b != at_bucket:
+                    at_bucket, table, values = b, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                if role < 0:
+                    table, values = owner, counts
+                    continue
+                other = expand(other)
+                p, frequent = values[find(table, owner)[0]] / (tokens + 1), is_number(other)
+                h, s, q = sums_by(other[frequent], (d[np.minimum(counts, DISCOUNTED + 1).astype(np.int64)] * counts)[frequent], p[frequent])
+                out = [(-1, squeeze_sorted(h), s.tobytes(), q.tobytes())]
+                h, q = sums_by(other[~frequent], p[~frequent])
+                buckets = (h % np.uint64(n)).astype(np.int64)
+                order = np.argsort(buckets, kind="stable")
+                h, q = h[order], q[order]
+                out += [(to, squeeze_sorted(h[s]), None, q[s].tobytes()) for to, s in _cut(buckets[order], n)]
+                yield batch_of(out, BACKOFF_SCHEMA)
+
+    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Side 1, with what from_words sent (role 2)."""
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, role, owner, other, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                h = expand_sorted(owner)
+                if role == 2:
+                    held.setdefault(b, []).append((h, np.zeros(len(h)), np.zeros(len(h)), np.frombuffer(c)))
+                    continue
+                other, counts = expand(other), expand(c)
+                p = np.where(is_number(other), unigram.value[np.where(is_number(other), other, np.uint64(0)).astype(np.int64)], 0.0)
+                held.setdefault(b, []).append(sums_by(h, counts, d[np.minimum(counts, DISCOUNTED + 1).astype(np.int64)] * counts, p))
+        for b, own in held.items():
+            h, seen, s, p = sums_by(*map(np.concatenate, zip(*own, strict=True)))
+            below, alpha = backoff(seen, s, p)
+            schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("below", pa.binary()), ("alpha", pa.binary())])
+            yield batch_of([(b, squeeze_sorted(h), below.tobytes(), alpha.tobytes())], schema)
+
+    def frequent_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, s, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(expand_sorted(h).astype(np.int64)), pa.array(np.frombuffer(s)), pa.array(np.frombuffer(p))], names=["h", "s", "p"])
+
+    met = unigrams.unionByName(rare.where("role = 0")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "role")
+    met.mapInArrow(from_words, "bucket int, keys binary, s binary, p binary").write.parquet(f"{path}/backoff")
+    sent = spark.read.parquet(f"{path}/backoff")
+    of_rare = sent.where("bucket >= 0").select("bucket", F.lit(2).alias("role"), F.col("keys").alias("owner"), F.lit(None).cast("binary").alias("other"), F.col("p").alias("counts"))
+    both = rare.where("role = 1").unionByName(of_rare).repartitionById(n, F.col("bucket"))
+    both.mapInArrow(histories, "bucket int, keys binary, below binary, alpha binary").write.parquet(f"{path}/histories")
+    return sent.where("bucket < 0").select("keys", "s", "p").mapInArrow(frequent_ones, "h long, s double, p double")
+
+
 def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame:
     """doc_id, `passed` if named, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
     spark, n = docs.sparkSession, model.buckets
@@ -318,7 +477,8 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
     names = [x.split()[0] for x in layout.split(", ")[:7]] + ["heads", "n_tokens", "n_known", "base"]
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Role 2 and 3: keys of a chunk's pairs and unknown tokens, how often each occurs, and in which documents. Role 4: what the chunk knows itself."""
+        """Role 2 and 3: keys of a chunk's pairs and unknown tokens, how often each occurs, and in which documents. Role 4: what the chunk knows itself.
+        Role 6 and 7: pairs with a rare w and a rare h, the rare token's hash as the key and the other token in n_tokens."""
         from pyspark import TaskContext
 
         for k, chunk in enumerate(chunks(batches)):
@@ -326,14 +486,25 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
             numbers, pairs = pairs_of(chunk, words())
             out = []
             rare = numbers == words().unknown
-            of_rare = chunk.hashes[rare]
-            for role, keys, docs_of, buckets in ((2, pairs, chunk.docs, words().buckets(pairs, n)), (3, of_rare, chunk.docs[rare], (of_rare % np.uint64(n)).astype(np.int64))):
-                order = np.argsort(keys, kind="stable")
+            if whole:
+                both = np.flatnonzero(~rare & (pairs >> np.uint64(SHIFT) != words().unknown))
+                asked_of = [(2, pairs[both], None, chunk.docs[both], words().buckets(pairs[both], n))]
+                asked_of += [(6 + side, owner, other, chunk.docs[at], (owner % np.uint64(n)).astype(np.int64)) for side, owner, other, at in rare_pairs(chunk, words())]
+            else:
+                of_rare = chunk.hashes[rare]
+                asked_of = [(2, pairs, None, chunk.docs, words().buckets(pairs, n)), (3, of_rare, None, chunk.docs[rare], (of_rare % np.uint64(n)).astype(np.int64))]
+            for role, keys, other, docs_of, buckets in asked_of:
+                order = np.argsort(keys, kind="stable") if other is None else np.lexsort((other, keys))
                 order = order[np.argsort(buckets[order].astype(np.uint16) if n < 65_536 else buckets[order], kind="stable")]
                 keys, docs_of, buckets = keys[order], docs_of[order].astype("<u2"), buckets[order]
+                other = None if other is None else other[order]
                 for b, s in _cut(buckets, n):
-                    new = np.flatnonzero(np.concatenate([[True], keys[s][1:] != keys[s][:-1]]))
-                    out.append((b, role, name, squeeze_sorted(keys[s][new]), squeeze(np.diff(np.append(new, s.stop - s.start))), zstandard.compress(docs_of[s].tobytes(), 1), len(chunk.sizes), None, None, None, None))
+                    differs = keys[s][1:] != keys[s][:-1]
+                    if other is not None:
+                        differs |= other[s][1:] != other[s][:-1]
+                    new = np.flatnonzero(np.concatenate([[True], differs]))
+                    others = None if other is None else squeeze(other[s][new])
+                    out.append((b, role, name, squeeze_sorted(keys[s][new]), squeeze(np.diff(np.append(new, s.stop - s.start))), zstandard.compress(docs_of[s].tobytes(), 1), len(chunk.sizes), None, others, None, None))
             known = np.append(np.log10(sent.value[1][: words().size] + 1.0), 0.0)[numbers]
             own = [np.bincount(chunk.docs, w, len(chunk.sizes)).tobytes() for w in (~rare, known)]
             heads = pa.concat_arrays(chunk.rows)
@@ -348,7 +519,30 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a partition come by bucket and role: tables first. Role 5: sums for a chunk's documents: log P, then log(c + 1) and known, of unknown tokens."""
         d, below, alpha, unigram = sent.value[3:]
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        tables: dict[int, tuple[np.ndarray, ...]] = {}
+
+        def met_by(key: int, keys: np.ndarray) -> np.ndarray:
+            table, values = tables.get(key, nothing)
+            at, there = find(table, keys)
+            return np.where(there, values[at], 0) if len(table) else np.zeros(len(keys), np.int64)
+
+        def rare_log(side: int, owner: np.ndarray, other: np.ndarray) -> list[np.ndarray | None]:
+            """log10 of this side's part of P(w | h); with side 0, also log10(c(w) + 1) and whether w is known."""
+            number = is_number(other)
+            code = np.where(number, other, np.uint64(0)).astype(np.int64)
+            pair = met_by(-2 + side, pair_key(owner, other))
+            seen = d[np.minimum(pair, DISCOUNTED + 1)] * pair
+            if side == 0:
+                c = met_by(1, owner)
+                p = np.maximum(c, 1) / (model_tokens + 1)
+                of_pair = np.where(number, np.where(pair > 0, seen / np.maximum(below[code], 1e-300), alpha[code] * p), np.where(pair > 0, 1.0, p))
+                return [np.log10(of_pair), np.log10(c + 1.0), c > 0]
+            hashes, own_below, own_alpha = tables.get(-3, (np.zeros(0, np.uint64), np.ones(1), np.ones(1)))
+            at, there = find(hashes, owner)
+            weight = np.where(there, own_alpha[at], 1.0) * np.where(number, unigram[code], 1.0)
+            return [np.log10(np.where(pair > 0, seen / own_below[at], weight)), None, None]
+
         at_bucket = None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -358,22 +552,31 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                 if role == 4:
                     yield batch.slice(i, 1)
                     continue
-                keys, counts = expand_sorted(batch.column(3)[i].as_py()), expand(batch.column(4)[i].as_py()).astype(np.int64)
+                keys = expand_sorted(batch.column(3)[i].as_py())
+                if role == -3:  # rare histories
+                    tables[role] = (keys, *(np.frombuffer(batch.column(c)[i].as_py()) for c in (4, 8)))
+                    continue
+                counts = expand(batch.column(4)[i].as_py()).astype(np.int64)
+                if role < 0:  # pairs with a rare token
+                    own = pair_key(keys, expand(batch.column(8)[i].as_py()))
+                    order = np.argsort(own)
+                    tables[role] = (own[order], counts[order])
+                    continue
                 if role < 2:
                     tables[role] = (keys, counts)
                     continue
-                table, values = tables.get(role - 2, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                found = np.zeros(len(keys), np.int64)
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-                    found = np.where(table[at] == keys, values[at], 0)
                 owners = np.frombuffer(zstandard.decompress(batch.column(5)[i].as_py()), "<u2")
                 n_docs = batch.column(6)[i].as_py()
-                if role == 2:
+                if role >= 6:
+                    logs = rare_log(role - 6, keys, expand(batch.column(8)[i].as_py()))
+                    sums = [None if x is None else np.bincount(owners, np.repeat(x, counts), n_docs).tobytes() for x in logs]
+                elif role == 2:
+                    found = met_by(0, keys)
                     h, w = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << SHIFT) - 1)).astype(np.int64)
                     p = np.where(found > 0, d[np.minimum(found, DISCOUNTED + 1)] * found / np.maximum(below[h], 1e-300), alpha[h] * unigram[w])
                     sums = [np.bincount(owners, np.repeat(np.log10(p), counts), n_docs).tobytes(), None, None]
                 else:
+                    found = met_by(1, keys)
                     sums = [None, *(np.bincount(owners, np.repeat(x, counts), n_docs).tobytes() for x in (np.log10(found + 1.0), found > 0))]
                 row = [at_bucket, 5, name, None, None, None, n_docs, None, *sums]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, batch.schema.types, strict=True)], schema=batch.schema)
@@ -392,15 +595,20 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
         known, base = (np.frombuffer(rows.column(c)[k].as_py()) for c in ("n_known", "base"))
         rare = n_tokens - known
         base_score = base + sums[1] - n_tokens * math.log10(model_tokens + model_distinct + 1)
-        full = sums[0] + sums[1] - rare * math.log10(unknown_slots)
+        full = sums[0] if whole else sums[0] + sums[1] - rare * math.log10(unknown_slots)
         heads = rows.column("heads").combine_chunks()[k].values
         return pa.table([heads, pa.array(n_tokens), pa.array(np.rint(known + sums[2]).astype(np.int64)), pa.array(base_score), pa.array(full)], names=["head", "n_tokens", "n_known", "base_score", "score"])
 
-    model_tokens, model_distinct, unknown_slots = model.tokens, model.distinct, int(model.counts[-2]) + model.unknown_distinct + 1
+    whole, model_tokens, model_distinct, unknown_slots = model.whole, model.tokens, model.distinct, int(model.counts[-2]) + model.unknown_distinct + 1
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "binary"), ("n_docs", "int"), ("heads", f"array<{kind}>"), ("n_tokens", "binary"), ("n_known", "binary"), ("base", "binary"))]
     table = lambda kind, role: spark.read.parquet(f"{model.path}/{kind}").select("bucket", F.lit(role).alias("role"), F.lit(-1).cast("long").alias("chunk"), "keys", "counts", *empty)
     asked = own.mapInArrow(requests, layout)
-    met = table("pairs", 0).unionByName(table("unigrams", 1)).unionByName(asked).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "role")
+    kept = table("pairs", 0).unionByName(table("unigrams", 1))
+    if whole:
+        sides, histories = spark.read.parquet(f"{model.path}/rare"), spark.read.parquet(f"{model.path}/histories")
+        kept = kept.unionByName(sides.select("bucket", (F.col("side") - 2).alias("role"), F.lit(-1).cast("long").alias("chunk"), F.col("owner").alias("keys"), "counts", *empty[:3], F.col("other").alias("n_tokens"), *empty[4:]))
+        kept = kept.unionByName(histories.select("bucket", F.lit(-3).alias("role"), F.lit(-1).cast("long").alias("chunk"), "keys", F.col("below").alias("counts"), *empty[:3], F.col("alpha").alias("n_tokens"), *empty[4:]))
+    met = kept.unionByName(asked).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "role")
     rows = met.mapInArrow(answers, layout).groupBy("chunk").applyInArrow(combine, f"head {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select("head.*", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -377,6 +377,34 @@ def test_katz(spark, docs, texts, tmp_path, words):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in own)) and r.score == pytest.approx(score)
 
 
+@pytest.mark.parametrize("frequent", [katz_lm.VOCABULARY, 300, 1])
+def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent):
+    """Every training token is a word, however few are broadcast."""
+    trained = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    tokens = {d: [*lower(t).encode().split(), b"\n"] for d, t in texts.items()}
+    c = Counter(w for d, own in tokens.items() if trained(d) for w in own)
+    total, pairs = sum(c.values()), Counter()
+    for d, own in tokens.items():
+        if trained(d):
+            pairs.update(zip(["^", *own[:-1]], own))
+    discount = katz_lm.discounts([sum(v == r for v in pairs.values()) for r in range(1, 7)])
+    count, s, seen = Counter(), Counter(), Counter()
+    for (h, w), v in pairs.items():
+        count[h] += v
+        s[h] += discount[min(v, 6)] * v
+        seen[h] += c[w] / (total + 1)
+    below = {h: count[h] + (s[h] >= count[h] - 1e-9) for h in count}
+    alpha = {h: (1 - s[h] / below[h]) / (1 - seen[h]) for h in count}
+    p = lambda h, w: discount[min(pairs[h, w], 6)] * pairs[h, w] / below[h] if pairs[h, w] else alpha.get(h, 1.0) * max(c[w], 1) / (total + 1)
+    marked = docs.select("doc_id", "text", (language_id.remainder(7) == 2).alias("held_out"))
+    model = katz_lm.train(marked.where("NOT held_out"), str(tmp_path / "m"), frequent=frequent)
+    for r in katz_lm.score(marked, model, "held_out").collect():
+        own = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), total)
+        assert r.score == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["^", *own[:-1]], own)))
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + len(c) + 1)) for w in own))
+
+
 def test_katz_cases(odd, tmp_path):
     model = katz_lm.train(odd, str(tmp_path / "a"))
     assert katz_lm.score(odd, model).count() == odd.count() and katz_lm.score(odd.limit(0), model).count() == 0
