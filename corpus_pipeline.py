@@ -1,7 +1,7 @@
 """The corpus pipeline, five stages over documents:
 
 1. language ID: documents that it rejects (no letter, or a narrow margin between languages) go;
-2. line dedup: lines within one edit of an earlier line are cut out; a document that loses all of its words that way goes;
+2. line dedup: lines equal to an earlier line, or from 20 characters on within one edit of one, are cut out; a document that loses all of its words that way goes;
 3. MinHash near-dedup (five-word shingles, similarity 0.8 or more): of each component the first document stays;
 4. benchmark decontamination: documents with a benchmark window (10 words) go;
 5. byte-level BPE: each document is encoded and decoded again, and told by digests.

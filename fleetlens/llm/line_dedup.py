@@ -1,7 +1,7 @@
-"""Line dedup: lines within one edit of an earlier line go, the earliest stays. DataFrame functions only.
+"""Line dedup: lines equal to an earlier line or within one edit of one go, the earliest stays. DataFrame functions only.
 
-Lines are compared as lower-cased and trimmed; those under `min_chars` characters are left alone. Order is by (doc_id, place in the text).
-A line goes if an equal or near line stands earlier anywhere.
+Lines are compared as lower-cased and trimmed; empty ones are left alone. Order is by (doc_id, place in the text).
+A line goes if an equal line, or one of `min_chars` characters or more if a near line of as many, stands earlier anywhere.
 
 Deletion neighbourhood, for an edit bound of 1. Of each distinct line, the strings that lack one of its characters are hashed:
 * with the place of the deletion: lines that share such a key differ by one replaced character;
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import common
 
+#: For near lines only; equal lines go at any length.
 MIN_CHARS = 20
 WINDOWS, NARROW = 8, 64
 
@@ -34,7 +35,7 @@ def _hash(*parts: Column | int) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, pos, line (normalised), h1, h2 of each line that counts."""
+    """doc_id, pos, line (normalised), h1, h2 of each line of min_chars characters or more."""
     split = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "raw"))
     lines = split.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("line")).where(F.length("line") >= min_chars)
     return lines.withColumns({"h1": _hash(F.col("line")), "h2": _hash(1, F.col("line"))})
@@ -115,9 +116,10 @@ def _near(lines: DataFrame, distinct: DataFrame, docs: DataFrame, min_chars: int
 def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id and `gone`, the places of its lines that go."""
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    lines = common.checkpointed(_lines(own, min_chars).withColumns(_halves()).drop("line"))
+    halves = {k: F.when(F.length("line") >= min_chars, x) for k, x in _halves().items()}
+    lines = common.checkpointed(_lines(own, 1).withColumns(halves).drop("line"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"))
-    near = common.checkpointed(_near(lines, distinct, own, min_chars)).withColumn("near", F.lit(True))
+    near = common.checkpointed(_near(lines.where("front0 IS NOT NULL"), distinct, own, min_chars)).withColumn("near", F.lit(True))
     doubtful = distinct.join(near, "first", "left").where("copies > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc_id", "pos", "h1", "h2").join(doubtful, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))

@@ -210,6 +210,14 @@ def test_line_dedup_random(spark):
     assert {(r.doc_id, p) for r in line_dedup.removed_lines(df, min_chars=2).collect() for p in r.gone} == expected
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Equal lines go at any length; short ones that are only near stay."""
+    made = [(0, "Menu\n\nHome | Login\n}\nx"), (1, " menu\n\nHome | Logis\n}\ny"), (2, "今日は晴れです。\n \nhome | login"), (3, "今日は晴れです。\n今日は雨です。\na line of twenty-one c")]
+    df = spark.createDataFrame([*made, (4, "A line of twenty-one d")], "doc_id long, text string")
+    assert {r.doc_id: r.gone for r in line_dedup.removed_lines(df).collect()} == {1: [0, 3], 2: [2], 3: [0], 4: [0]}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}[1] == "\nHome | Logis\ny"
+
+
 def test_line_dedup_cases(odd):
     done = line_dedup.dedup_lines(odd)
     assert done.count() == odd.count() and done.columns[:-2] == odd.columns
