@@ -1,7 +1,7 @@
 """Quality rules: counts of each text, and cross-document line frequency. DataFrame functions only.
 
 Method: the normalised lines (lower-cased, trimmed) of each document are hashed; a line that more than MAX_DOCS distinct documents of one
-host (`source`) have is removed, and a document that loses more than MAX_LOST percent of its distinct lines' characters is rejected.
+host (`source`) have is removed (`cleaned` gives the texts without these), and a document that loses more than MAX_LOST percent of its distinct lines' characters is rejected.
 
 Repeated words, within a row: hashes of all 3-word windows are packed with their places and sorted, so equal ones become neighbours;
 each place whose window has an equal neighbour covers three words, and the sorted places add up to the union.
@@ -12,7 +12,7 @@ rows with a null id count for no line and lose none; further columns are ignored
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import common
@@ -51,28 +51,57 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _normal(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, host, h1, h2, size (characters) of each distinct normalised line of each row."""
-    lines = F.array_distinct(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACE))))
+    lines = F.array_distinct(F.transform(F.split(F.lower("text"), "\n"), _normal))
     own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.explode(lines).alias("line")).where("line <> ''")
-    return own.select("doc_id", "host", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("size"))
+    return own.select("doc_id", "host", *_hashes(F.col("line")), F.length("line").alias("size"))
+
+
+def lost_lines(lines: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
+    """doc_id, h1, h2, size of the distinct lines that documents lose: of hashed_lines, those above the limit in their host."""
+    frequent = lines.groupBy("host", "h1", "h2").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > max_docs).select("host", "h1", "h2")
+    return lines.join(frequent, ["host", "h1", "h2"]).select("doc_id", "h1", "h2", "size").distinct()
 
 
 def depletion(docs: DataFrame, *, max_docs: int = MAX_DOCS) -> DataFrame:
-    """doc_id, and the characters of distinct lines that it loses and has, of documents that lose any: lines above the limit in its host."""
+    """doc_id, the hashes of the lines that it loses (`gone`), and the characters of distinct lines that it loses and has, of documents that lose any."""
     lines = common.checkpointed(hashed_lines(docs))
-    frequent = lines.groupBy("host", "h1", "h2").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > max_docs).select("host", "h1", "h2")
-    lost = lines.join(frequent, ["host", "h1", "h2"]).select("doc_id", "h1", "h2", "size").distinct().groupBy("doc_id").agg(F.sum("size").alias("lost"))
+    lost = lost_lines(lines, max_docs=max_docs).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"), F.sum("size").alias("lost"))
     lost = common.checkpointed(lost)
     total = common.semi(lines, lost.select("doc_id"), "doc_id").select("doc_id", "h1", "h2", "size").distinct().groupBy("doc_id").agg(F.sum("size").alias("total"))
     return lost.join(total, "doc_id")
 
 
+def cleaned(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
+    """docs without the depleted documents, and with the frequent lines cut out of the others' texts; `__n_removed` counts these lines."""
+    found = depletion(common.renamed_apart(docs, ["doc_id", "text", "source"]), max_docs=max_docs)
+    lists = common.checkpointed(found.select("doc_id", F.struct("gone", _depleted(max_lost).alias("depleted")).alias("__found")))
+    raw, gone = F.split("text", "\n"), F.col("__found.gone")
+    kept = F.filter(raw, lambda x: ~F.array_contains(gone, F.struct(*_hashes(_normal(F.lower(x))))))
+    out = common.with_lists(docs, lists, "doc_id", "__found").where("__found IS NULL OR NOT __found.depleted").withColumn("__kept", F.when(gone.isNull() | F.col("text").isNull(), F.array()).otherwise(kept))
+    text = F.when(gone.isNull(), F.col("text")).when(F.col("text").isNotNull(), F.array_join("__kept", "\n"))
+    removed = F.when(gone.isNull() | F.col("text").isNull(), 0).otherwise(F.size(raw) - F.size("__kept")).cast("long")
+    return out.withColumns({"__n_removed": removed, "text": text}).select(*[F.col(f"`{c}`") for c in docs.columns], "__n_removed")
+
+
+def _depleted(max_lost: int) -> Column:
+    return 100 * F.col("lost") > max_lost * F.col("total")
+
+
 def judged(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """doc_id, the base counts, base_failed, n_lost (characters) and kept of each row of docs (doc_id, text, source)."""
     own = common.renamed_apart(docs, ["doc_id", "text", "source"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = depletion(own, max_docs=max_docs).select("doc_id", "lost", (100 * F.col("lost") > max_lost * F.col("total")).alias("depleted"))
+    verdict = depletion(own, max_docs=max_docs).select("doc_id", "lost", _depleted(max_lost).alias("depleted"))
     base = base_counts(own).withColumn("base_failed", failed)
     return base.join(verdict, "doc_id", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("lost", F.lit(0)).cast("long").alias("n_lost"), (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"))
 

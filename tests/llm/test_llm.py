@@ -180,6 +180,19 @@ def test_quality_cases(spark, odd):
     assert r[0].n_lost == 24 and r[100].kept and r[101].n_lost == 0
 
 
+def test_quality_removes_frequent_lines(spark, odd):
+    made = [(i, f"Cookie notice \nown text of document {i}\n\n cookie NOTICE", "h", 1) for i in range(6)] + [(10, "cookie notice\nab", "h", 2), (11, "Cookie notice\nab", "g", 3), (12, None, "h", 4), (None, "cookie notice", "h", 5)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long")
+    done = quality_rules.cleaned(df, max_docs=5)
+    got = {r.doc_id: r for r in done.collect()}
+    assert done.columns == [*df.columns, "__n_removed"] and set(got) == {*range(6), 11, 12, None}  # 10 is depleted
+    assert all((got[i].text, got[i]["__n_removed"], got[i].n_chars) == (f"own text of document {i}\n", 2, 1) for i in range(6))
+    assert [(got[i].text, got[i]["__n_removed"]) for i in (11, 12, None)] == [("Cookie notice\nab", 0), (None, 0), ("cookie notice", 0)]
+    judged = {r.doc_id: r.n_lost for r in quality_rules.judged(df, max_docs=5).collect()}
+    assert judged == {r[0]: 13 if r[0] in (*range(6), 10) else 0 for r in made}
+    assert quality_rules.cleaned(odd).count() == odd.count() and quality_rules.cleaned(odd.limit(0)).count() == 0
+
+
 def test_line_dedup_of_long_lines(spark):
     rng = random.Random(4)
     base = "".join(rng.choice("abcd ") for _ in range(40_000))
