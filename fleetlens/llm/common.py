@@ -6,7 +6,7 @@ import contextlib
 import re
 import sys
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -21,22 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and cut off from its lineage; a local folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def checkpoint_path(spark: SparkSession) -> str:
-    """The shared folder itself, for tables that an operator writes."""
+    """The cluster's shared checkpoint folder, also for tables that an operator writes. Only a local master, whose executors share its disk, gets a folder of its own where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return sc.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and cut off from its lineage."""
+    checkpoint_path(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 #: States that a worker keeps; the one unused for longest goes first.
 STATES = 3
 
@@ -161,6 +162,19 @@ def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", mos
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
 
 
+def met(df: DataFrame, keys: DataFrame, on: Sequence[str], rows: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """df joined with keys (unique in `on`; `rows` tells how many rows of df have each). Keys are broadcast if they are counted and few. Else the
+    `most` commonest are, and the others, none of which has more than a share of 1 / most of df's rows, are met by a shuffle: no task gets all rows of a common key."""
+    keys = checkpointed(keys)
+    n = keys.limit(most + 1).count()
+    if n <= most:
+        return df.join(F.broadcast(keys.drop(rows)), list(on))
+    n = keys.count()
+    cut = keys.select(F.percentile_approx(rows, 1 - most / n / 2, 10_000)).first()[0]
+    common = keys.where(F.col(rows) > cut).drop(rows)
+    return df.join(F.broadcast(common), list(on)).unionByName(df.join(keys.where(F.col(rows) <= cut).drop(rows).hint("shuffle_hash"), list(on)))
+
+
 def with_lists(df: DataFrame, lists: DataFrame, column: str, added: str) -> DataFrame:
     """df left-joined with `lists`, one row an id. Rows of df that have none don't move, if the ids that have one are few enough to broadcast."""
     ids = lists.select(column)
