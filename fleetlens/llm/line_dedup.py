@@ -53,8 +53,8 @@ def _halves() -> dict[str, Column]:
 
 def _shared(keys: DataFrame) -> DataFrame:
     """The rows (key, id, ...) whose key a different id has, too."""
-    several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    return common.semi(keys, several, "key")
+    several = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    return common.met(keys, several, ["key"], "n")
 
 
 def _windows(lines: DataFrame) -> DataFrame:
@@ -96,16 +96,16 @@ def _variants(lines: DataFrame) -> DataFrame:
     return edited.unionByName(lines.select("first", "line", F.struct(_hash(line).alias("key"), F.lit(2).alias("role")).alias("v"))).select("first", "line", "v.*")
 
 
-def _near(lines: DataFrame, distinct: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+def _near(distinct: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
     """`first` of the distinct lines that are one edit from an earlier one."""
-    suspects = _shared(lines.select(F.col("h1").alias("id"), F.explode(F.array("front0", "back0", "front1", "back1")).alias("key"))).select(F.col("id").alias("h1")).distinct()
-    wanted = common.checkpointed(distinct.join(suspects, "h1").select("first"))
+    suspects = _shared(distinct.where("front0 IS NOT NULL").select(F.col("h1").alias("id"), "first", F.explode(F.array("front0", "back0", "front1", "back1")).alias("key")))
+    wanted = common.checkpointed(suspects.select("first").distinct())
     texts = _lines(common.semi(docs, wanted.select(F.col("first.doc_id").alias("doc_id")).distinct(), "doc_id"), min_chars).select(F.struct("doc_id", "pos").alias("first"), "line", F.col("h1").alias("id")).dropDuplicates(["first"])
     own = common.checkpointed(wanted.join(texts, "first"))
     places = _windows(own).groupBy("first").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("low", F.greatest("low", "high")))))).alias("places"))
     rows = _variants(own.select("first", "line").join(places, "first").withColumn("places", F.filter("places", lambda i: i <= F.length("line"))))
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = common.checkpointed(common.semi(rows, several, "key"))
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = common.checkpointed(common.met(rows, several, ["key"], "n"))
     least = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "line")))
     earliest = met.groupBy("key").agg(*[least(r).alias(f"e{r}") for r in (0, 1, 2)])
     earlier = F.when(F.col("role") == 0, F.col("e0")).when(F.col("role") == 1, F.col("e2")).otherwise(F.col("e1"))
@@ -118,10 +118,10 @@ def removed_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
     own = common.renamed_apart(docs, ["doc_id", "text"])
     halves = {k: F.when(F.length("line") >= min_chars, x) for k, x in _halves().items()}
     lines = common.checkpointed(_lines(own, 1).withColumns(halves).drop("line"))
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"))
-    near = common.checkpointed(_near(lines.where("front0 IS NOT NULL"), distinct, own, min_chars)).withColumn("near", F.lit(True))
-    doubtful = distinct.join(near, "first", "left").where("copies > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc_id", "pos", "h1", "h2").join(doubtful, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
+    distinct = common.checkpointed(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies"), *[F.min(k).alias(k) for k in halves]))
+    near = common.checkpointed(_near(distinct, own, min_chars)).withColumn("near", F.lit(True))
+    doubtful = distinct.join(near, "first", "left").where("copies > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "copies")
+    gone = common.met(lines.select("doc_id", "pos", "h1", "h2"), doubtful, ["h1", "h2"], "copies").where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
@@ -143,13 +143,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH raw AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM raw WHERE length(trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11))) >= 20),
+lines AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM raw WHERE trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> ''),
 firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= 20),
 keys AS (
-  SELECT line, first, n AS l, 'front' AS side, left(line, n // 2) AS part FROM firsts UNION ALL
-  SELECT line, first, n, 'back', right(line, n - n // 2) FROM firsts UNION ALL
-  SELECT line, first, n - 1, 'front', left(line, (n - 1) // 2) FROM firsts UNION ALL
-  SELECT line, first, n - 1, 'back', right(line, n - 1 - (n - 1) // 2) FROM firsts),
+  SELECT line, first, n AS l, 'front' AS side, left(line, n // 2) AS part FROM long UNION ALL
+  SELECT line, first, n, 'back', right(line, n - n // 2) FROM long UNION ALL
+  SELECT line, first, n - 1, 'front', left(line, (n - 1) // 2) FROM long UNION ALL
+  SELECT line, first, n - 1, 'back', right(line, n - 1 - (n - 1) // 2) FROM long),
 near AS (SELECT DISTINCT a.line FROM keys a JOIN keys b USING (l, side, part) WHERE b.first < a.first AND a.line <> b.line AND levenshtein(a.line, b.line) <= 1),
 gone AS (SELECT DISTINCT doc_id, pos FROM lines JOIN firsts USING (line) WHERE (doc_id, pos) <> first OR line IN (SELECT line FROM near)),
 whole AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
