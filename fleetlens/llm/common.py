@@ -152,7 +152,7 @@ def type_of(df: DataFrame, column: str) -> str:
 
 
 #: The most ids that are broadcast; beyond it, a join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
