@@ -1,13 +1,15 @@
-"""The checkpoint log of entity runs: JSON lines, appended by the driver, folded to the latest status as a DataFrame.
+"""The checkpoint log of entity runs, folded to the latest status of each entity.
 
+Two places: LocalCheckpoint, JSON lines in a folder of the driver, for runs that fit its memory; SharedCheckpoint, a Parquet table in shared
+storage, whose entries stay in DataFrames. Ids are kept as text. One writer at a time.
 Field names of an entry (fixed values): entity_id, status, recorded_at, runtime_seconds, memory_delta_mb, attempts, error_message, metadata.
-Ids are kept as text. One writer at a time; the log is read at the start of each run. Large fleets write a batch at a time.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
@@ -19,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.errors import CheckpointError
+from fleetlens.operators.durable import deleted, exists
 
 COMPLETED, FAILED = "completed", "failed"
 ENTRY = "entity_id string, status string, recorded_at string, runtime_seconds double, memory_delta_mb double, attempts int, error_message string, metadata map<string,string>"
@@ -53,6 +56,14 @@ class CheckpointBackend(ABC):
     @abstractmethod
     def clear(self) -> None: ...
 
+    def append_frame(self, entries: DataFrame) -> None:
+        """The rows of entries (columns of ENTRY, or some of them)."""
+        self.append(Entry.of({k: v for k, v in r.asDict().items() if v is not None}) for r in entries.toLocalIterator())
+
+    def completed_frame(self, spark: SparkSession) -> DataFrame:
+        """entity_id of what is completed."""
+        return spark.createDataFrame([(x,) for x in sorted(self.completed())], "entity_id string")
+
     def latest(self) -> dict[str, Entry]:
         return {e.entity_id: e for e in self.entries()}
 
@@ -87,18 +98,47 @@ class LocalCheckpoint(CheckpointBackend):
     def __init__(self, directory: str):
         self.path = os.path.join(directory, "checkpoints.jsonl")
         os.makedirs(directory, exist_ok=True)
+        self._seen: tuple[tuple[int, int], list[Entry], dict[str, Entry]] | None = None  # the file's time and size, and what it held then
+
+    def _stamp(self) -> tuple[int, int]:
+        found = os.stat(self.path) if os.path.exists(self.path) else None
+        return (found.st_mtime_ns, found.st_size) if found else (0, 0)
+
+    def _state(self) -> tuple[list[Entry], dict[str, Entry]]:
+        """Entries and latest ones; the file is parsed again only if someone else wrote it."""
+        if self._seen is None or self._seen[0] != self._stamp():
+            entries = self._parsed()
+            self._seen = (self._stamp(), entries, {e.entity_id: e for e in entries})
+        return self._seen[1:]
+
+    def entries(self) -> list[Entry]:
+        return list(self._state()[0])
+
+    def latest(self) -> dict[str, Entry]:
+        return dict(self._state()[1])
+
+    def is_completed(self, entity: object) -> bool:
+        found = self._state()[1].get(str(entity))
+        return found is not None and found.status == COMPLETED
+
+    should_skip = is_completed
 
     def append(self, entries: Iterable[Entry]) -> None:
         now = datetime.now(UTC).isoformat()
-        lines = [json.dumps(asdict(e) | {"recorded_at": e.recorded_at or now}) for e in entries]
+        new = [Entry(**asdict(e) | {"recorded_at": e.recorded_at or now}) for e in entries]
+        lines = [json.dumps(asdict(e)) for e in new]
         if not lines:
             return
         try:
+            known = self._state()
             self._mend()
             with open(self.path, "a", encoding="utf-8") as file:
                 file.write("".join(x + "\n" for x in lines))
                 file.flush()
                 os.fsync(file.fileno())
+            known[0].extend(new)
+            known[1].update((e.entity_id, e) for e in new)
+            self._seen = (self._stamp(), *known)
         except OSError as error:
             raise CheckpointError(f"{self.path} can't be written: {error}") from error
 
@@ -118,7 +158,7 @@ class LocalCheckpoint(CheckpointBackend):
             except ValueError:
                 file.truncate(start)
 
-    def entries(self) -> list[Entry]:
+    def _parsed(self) -> list[Entry]:
         if not os.path.exists(self.path):
             return []
         with open(self.path, encoding="utf-8") as file:
@@ -149,6 +189,44 @@ class LocalCheckpoint(CheckpointBackend):
         return spark.createDataFrame(rows, f"seq long, {ENTRY}")
 
 
+class SharedCheckpoint(CheckpointBackend):
+    """A log as a Parquet table at a path that all executors share. Each append adds files; `seq` orders entries by append and place in it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, entries: Iterable[Entry]) -> None:
+        rows = [tuple(asdict(e).values()) for e in entries]
+        if rows:
+            self.append_frame(self.spark.createDataFrame(rows, ENTRY))
+
+    def append_frame(self, entries: DataFrame) -> None:
+        kinds = dict(x.strip().split(" ", 1) for x in ENTRY.split(", "))
+        now = F.lit(datetime.now(UTC).isoformat())
+        full = entries.select(*[(F.col(c) if c in entries.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+        seq = F.struct(F.lit(time.time_ns()).alias("append"), F.monotonically_increasing_id().alias("place"))
+        full.withColumns({"recorded_at": F.coalesce(F.nullif("recorded_at", F.lit("")), now), "seq": seq}).write.mode("append").parquet(self.path)
+
+    def dataframe(self, spark: SparkSession | None = None) -> DataFrame:
+        layout = f"{ENTRY}, seq struct<append:bigint,place:bigint>"
+        return self.spark.read.schema(layout).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], layout)
+
+    def completed_frame(self, spark: SparkSession) -> DataFrame:
+        return latest_status(self.dataframe().select("entity_id", "status", "seq")).where(F.col("status") == COMPLETED).select("entity_id")
+
+    def entries(self) -> list[Entry]:
+        return [Entry.of(r.asDict()) for r in self.dataframe().orderBy("seq").drop("seq").toLocalIterator()]
+
+    def is_completed(self, entity: object) -> bool:
+        last = latest_status(self.dataframe().where(F.col("entity_id") == str(entity)).select("entity_id", "status", "seq")).first()
+        return last is not None and last.status == COMPLETED
+
+    should_skip = is_completed
+
+    def clear(self) -> None:
+        deleted(self.spark, self.path)
+
+
 def latest_status(log: DataFrame, entity: str = "entity_id", order: str = "seq") -> DataFrame:
     """The last row of each entity; an aggregate, so a busy entity is folded before the exchange."""
     rest = [c for c in log.columns if c != entity]

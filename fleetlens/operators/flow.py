@@ -15,12 +15,15 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from fleetlens.errors import RetriesExhausted
 from fleetlens.operators import series
-from fleetlens.operators.checkpoint import CheckpointBackend, Entry, LocalCheckpoint
+from fleetlens.operators.checkpoint import COMPLETED, FAILED, CheckpointBackend, LocalCheckpoint
 from fleetlens.operators.durable import stored
 from fleetlens.operators.memory import MemoryScope
 from fleetlens.operators.retry import RetryPolicy
@@ -46,6 +49,32 @@ class EntityContext:
         return time.time() - self.started_at
 
 
+@dataclass
+class RunSummary:
+    processed: int = 0
+    succeeded: int = 0
+    failed: int = 0
+    skipped: int = 0
+    batches: int = 0
+    retries: int = 0
+    runtime_seconds: float = 0.0
+    peak_memory_mb: float = 0.0
+    results: DataFrame | None = None
+
+    @property
+    def success_rate(self) -> float:
+        return self.succeeded / self.processed if self.processed else 0.0
+
+    def counted(self, envelopes: DataFrame) -> RunSummary:
+        """Takes the counts of envelopes."""
+        r = envelopes.agg(F.count("*"), F.count_if("success"), F.sum(F.col("attempts") - 1), F.max("memory_delta_mb")).first()
+        self.processed, self.succeeded, self.failed, self.retries, self.peak_memory_mb, self.results = r[0], r[1], r[0] - r[1], r[2] or 0, r[3] or 0.0, envelopes
+        return self
+
+    def text(self) -> str:
+        return f"{self.processed} processed, {self.succeeded} succeeded, {self.failed} failed, {self.skipped} skipped, {self.retries} retries in {self.batches} batches, {self.runtime_seconds:.1f} s"
+
+
 def jsonable(value: Any) -> str:
     return json.dumps(value, default=lambda x: x.item() if hasattr(x, "item") else x.to_dict() if hasattr(x, "to_dict") else str(x))
 
@@ -69,37 +98,44 @@ class EntityFlow:
         self.validate(df)
         used = list(dict.fromkeys([self.entity_key, *([self.time_key] if self.time_key else []), *self.tiebreak, *(self.columns or df.columns)]))
         function, key, at, order, policy, as_text = self.function, self.entity_key, self.time_key, [*([self.time_key] if self.time_key else []), *self.tiebreak], self.retry, self.output == "string"
-        kind = df.schema[key].dataType.simpleString()
+        kind, arrow = df.schema[key].dataType.simpleString(), to_arrow_type(DataType.fromDDL(self.output))
+
+        def shown(output: Any) -> Any:
+            """The output as the envelope holds it; one that can't be held is the function's failure."""
+            if as_text:
+                return jsonable(output)
+            pa.array([output], arrow)
+            return output
 
         def one(ids: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             began, attempts, output, failure = time.perf_counter(), 1, None, (None, None, None)
             with MemoryScope() as scope:
                 try:
                     own = frame.sort_values(order, kind="stable").reset_index(drop=True) if order else frame
-                    output, attempts = policy.run(lambda n: function(own.copy(), EntityContext(ids[0], key, at, n)), any_error=True)
+                    output, attempts = policy.run(lambda n: shown(function(own.copy(), EntityContext(ids[0], key, at, n))), any_error=True)
                 except RetriesExhausted as error:
                     attempts, cause = error.attempts, error.cause
                     failure = (type(cause).__name__, str(cause), "".join(traceback.format_exception(cause)))
                 except Exception as error:  # the frame itself can't be ordered
                     failure = (type(error).__name__, str(error), traceback.format_exc())
             ok = failure[0] is None
-            return pd.DataFrame([[ids[0], ok, time.perf_counter() - began, scope.delta_mb, attempts, *failure, (jsonable(output) if as_text else output) if ok else None]], columns=["entity_id", *(x.split()[0] for x in STATUS.split(", ")), "output"])
+            return pd.DataFrame([[ids[0], ok, time.perf_counter() - began, scope.delta_mb, attempts, *failure, output if ok else None]], columns=["entity_id", *(x.split()[0] for x in STATUS.split(", ")), "output"])
 
         return df.where(F.col(key).isNotNull()).select(*used).groupBy(key).applyInPandas(one, f"entity_id {kind}, {STATUS}, output {self.output}")
 
     def todo(self, df: DataFrame) -> DataFrame:
         """The rows of entities to process: the limit comes before what is completed is left out."""
         limited = series.first_entities(df, self.entity_key, self.max_entities)
-        if not (self.checkpoint and self.resume and (done := self.checkpoint.completed())):
+        if not (self.checkpoint and self.resume):
             return limited
-        return series.pending(limited, df.sparkSession.createDataFrame([(x,) for x in sorted(done)], "entity_id string"), self.entity_key)
+        return series.pending(limited, self.checkpoint.completed_frame(df.sparkSession), self.entity_key)
 
     def run(self, df: DataFrame) -> EntityFlowResult:
         """Processes all entities once; results are stored, so counts and outputs don't run the function again."""
         self.validate(df)
         result = EntityFlowResult(stored(self.envelopes(self.todo(df))), ordered=self.sort_entities)
         if self.checkpoint:
-            self.checkpoint.append(result.entries())
+            self.checkpoint.append_frame(log_entries(result.envelopes))
         return result
 
     def process_entity(self, df: DataFrame, entity: Any) -> DataFrame:
@@ -132,10 +168,11 @@ class EntityFlowResult:
     def by_entity(self, entity: Any) -> DataFrame:
         return self.envelopes.where(F.col("entity_id") == F.lit(entity))
 
-    def entries(self):
-        """Log entries, one by one."""
-        for r in self.envelopes.drop("output", "traceback").toLocalIterator():
-            yield Entry(str(r.entity_id), "completed" if r.success else "failed", runtime_seconds=r.runtime_seconds, memory_delta_mb=r.memory_delta_mb, attempts=r.attempts, error_message=r.error_message)
+
+def log_entries(envelopes: DataFrame) -> DataFrame:
+    """Envelopes as entries of a checkpoint log."""
+    status = F.when(F.col("success"), COMPLETED).otherwise(FAILED)
+    return envelopes.select(F.col("entity_id").cast("string").alias("entity_id"), status.alias("status"), "runtime_seconds", "memory_delta_mb", "attempts", "error_message")
 
 
 class EntityFlowFunction:
@@ -166,21 +203,3 @@ def entity_flow(*, entity_key: str | None = None, entity_column: str | None = No
     """Decorator of a function (frame, context)."""
     key = series.entity_column_name(entity_key, entity_column)
     return lambda function: EntityFlowFunction(function, EntityFlow(function, entity_key=key, time_key=time_key, **options))
-
-
-def concatenated(df: DataFrame, function: Callable[[pd.DataFrame, EntityContext], pd.DataFrame], schema: str, *, entity_key: str, retry: RetryPolicy | None = None, max_entities: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The concatenated frames of entities that succeed (no time order, errors retried by policy), and their status rows, of one pass."""
-    policy, kind = retry or RetryPolicy(), df.schema[entity_key].dataType.simpleString()
-
-    def one(ids: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        began = time.perf_counter()
-        try:
-            out, attempts = policy.run(lambda n: function(frame.copy(), EntityContext(ids[0], entity_key, None, n)))
-            rows = out.to_dict("records")
-            return pd.DataFrame({"entity_id": [ids[0]], "success": [True], "attempts": [attempts], "runtime_seconds": [time.perf_counter() - began], "error_message": [None], "rows": [rows]})
-        except RetriesExhausted as error:
-            return pd.DataFrame({"entity_id": [ids[0]], "success": [False], "attempts": [error.attempts], "runtime_seconds": [time.perf_counter() - began], "error_message": [str(error)], "rows": [[]]})
-
-    limited = series.first_entities(df, entity_key, max_entities)
-    both = stored(limited.groupBy(entity_key).applyInPandas(one, f"entity_id {kind}, success boolean, attempts int, runtime_seconds double, error_message string, rows array<struct<{schema}>>"))
-    return both.where("success").select(F.explode("rows").alias("r")).select("r.*"), both.drop("rows")

@@ -25,13 +25,11 @@ class Gate:
     max_gap_seconds: float | None = None
 
     def __post_init__(self) -> None:
-        if self.min_rows < 1:
-            raise GateError("min_rows must be at least 1")
-        for name in ("max_missing_rate", "max_outlier_ratio", "max_spike_ratio", "max_flatline_ratio", "max_sampling_irregularity", "min_coverage_ratio"):
-            if not 0.0 <= getattr(self, name) <= 1.0:
-                raise GateError(f"{name} must be between 0 and 1")
-        if self.max_gap_seconds is not None and self.max_gap_seconds <= 0:
-            raise GateError("max_gap_seconds must be positive when set")
+        shares = {k: v for k, v in vars(self).items() if k not in ("min_rows", "max_gap_seconds")}
+        wrong = [f"{k} {v} (a share is from 0 to 1)" for k, v in shares.items() if not 0 <= v <= 1]
+        wrong += [f"min_rows {self.min_rows} (from 1 on)"] * (self.min_rows < 1) + [f"max_gap_seconds {self.max_gap_seconds} (above 0, or None)"] * (self.max_gap_seconds is not None and self.max_gap_seconds <= 0)
+        if wrong:
+            raise GateError("no gate with " + ", ".join(wrong))
 
     def limits(self) -> list[tuple[str, str, bool, float, int | None]]:
         """Name, profile column, whether it is a floor, threshold, and decimals in messages, of the checks in order."""

@@ -21,8 +21,10 @@ def inferred_frequency(series: DataFrame) -> DataFrame:
 def slotted(series: DataFrame, freq_us: int | Column) -> DataFrame:
     """series with origin and slot; rows without a time are dropped. freq_us: a number, or a column of series."""
     width = F.lit(freq_us).cast("long") if isinstance(freq_us, int) else freq_us
-    origin = (F.floor(F.min("us").over(W.partitionBy("entity")) / DAY) * DAY).cast("long")
-    return series.where("us IS NOT NULL").withColumn("origin", origin).withColumn("width", width).withColumn("slot", F.floor((F.col("us") - F.col("origin")) / F.col("width")).cast("long"))
+    timed = series.where("us IS NOT NULL")
+    # an aggregate and a join, which split an entity of many rows, in place of a window, which doesn't
+    origins = timed.groupBy("entity").agg((F.floor(F.min("us") / DAY) * DAY).cast("long").alias("origin"))
+    return timed.join(origins, "entity").withColumn("width", width).withColumn("slot", F.floor((F.col("us") - F.col("origin")) / F.col("width")).cast("long"))
 
 
 def slot_values(series: DataFrame, freq_us: int | Column, agg: str = "mean") -> DataFrame:

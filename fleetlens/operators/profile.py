@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetlens.errors import MissingColumns, ProfileError
 from fleetlens.functions.columns import clipped, ratio, squashed
 from fleetlens.functions.frequency import frequency_text
 from fleetlens.operators import grid
@@ -96,6 +98,28 @@ def split(series: DataFrame, lags: Sequence[int], block: int = BLOCK_ROWS) -> Da
     return full.join(F.broadcast(limits), "entity").drop("block", "own_start", "carried")
 
 
+def _irregularity() -> Column:
+    return F.when(F.col("times") < 3, 0.0).when(F.col("median_gap") <= 0, 1.0).otherwise(squashed(F.try_divide(F.col("gap_sd"), F.col("median_gap"))))
+
+
+def _largest_gap() -> Column:
+    return F.when(F.col("times") >= 2, F.col("max_gap")).otherwise(0.0)
+
+
+def _raw(series: DataFrame, sigma: float, min_run: int, lags: Sequence[int], hot_rows: int | None) -> DataFrame:
+    """What a profile on a grid of given width needs of the rows: raw_sampling_irregularity, raw_max_gap_seconds, and `own`, the whole metrics of entities without a time.
+
+    Those entities' rows are among the rows without a time, so only these are profiled."""
+    size = int(str(series._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if hot_rows is not None and size >= hot_rows:  # may have entities that a window shouldn't take whole
+        whole = _metrics(series, sigma, min_run, lags, hot_rows)
+        return whole.select("entity", F.col("sampling_irregularity").alias("raw_sampling_irregularity"), F.col("max_gap_seconds").alias("raw_max_gap_seconds"), F.struct(*whole.columns[1:]).alias("own"))
+    gap = (F.col("us") - F.lag("us").over(W.partitionBy("entity").orderBy(F.col("us").asc_nulls_last()))) / 1e6
+    gaps = series.select("entity", "us").withColumn("gap", gap).groupBy("entity").agg(F.count("us").alias("times"), F.percentile("gap", 0.5).alias("median_gap"), F.stddev_pop("gap").alias("gap_sd"), F.max("gap").alias("max_gap"))
+    own = _summarised(_ordered(series.where("us IS NULL"), lags), sigma, min_run, lags)
+    return gaps.select("entity", _irregularity().alias("raw_sampling_irregularity"), _largest_gap().alias("raw_max_gap_seconds")).join(own.select("entity", F.struct(*own.columns[1:]).alias("own")), "entity", "left")
+
+
 def _summarised(rows: DataFrame, sigma: float, min_run: int, lags: Sequence[int]) -> DataFrame:
     """The metrics from ordered rows."""
     median_gap = F.first("median_gap") if "median_gap" in rows.columns else F.percentile("gap", 0.5)
@@ -121,15 +145,14 @@ def _summarised(rows: DataFrame, sigma: float, min_run: int, lags: Sequence[int]
     seasonality = F.when((n < 8) | constant, 0.0).otherwise(clipped(reduce(F.greatest, strengths, F.lit(0.0))))
     span = F.greatest((F.col("to_us") - F.col("from_us")) / grid.DAY, F.lit(1 / 86_400))
     two = F.col("times") >= 2
-    irregular = F.when(F.col("times") < 3, 0.0).when(F.col("median_gap") <= 0, 1.0).otherwise(squashed(F.try_divide(F.col("gap_sd"), F.col("median_gap"))))
     return per.select(
         "entity", "row_count", n.alias("effective_row_count"), F.when(F.col("row_count") > 0, 1 - n / F.col("row_count")).otherwise(0.0).alias("missing_rate"),
         volatility.alias("volatility"), trend.alias("trend_strength"), seasonality.alias("seasonality_strength"),
         F.when((n < 4) | (F.col("q")[0] == F.col("q")[1]), 0.0).otherwise(ratio(F.col("outliers"), n)).alias("outlier_ratio"),
         F.when((n < 3) | ~(F.col("limit") * sigma > 0), 0.0).otherwise(ratio(F.col("spikes"), F.col("diffs"))).alias("spike_ratio"),
         F.when(n < min_run, 0.0).otherwise(ratio(F.col("flat"), n)).alias("flatline_ratio"),
-        irregular.alias("sampling_irregularity"), F.lit(1.0).alias("coverage_ratio"),
-        F.when(two, F.col("max_gap")).otherwise(0.0).alias("max_gap_seconds"),
+        _irregularity().alias("sampling_irregularity"), F.lit(1.0).alias("coverage_ratio"),
+        _largest_gap().alias("max_gap_seconds"),
         F.when(two, F.col("times") / span).otherwise(F.col("times").cast("double")).alias("observation_density"),
         F.when(two, span).otherwise(0.0).alias("span_days"),
     )
@@ -153,12 +176,13 @@ and saves the count."""
 
     if freq_us is None and not infer:
         return named(_metrics(series, sigma, min_run, lags, hot_rows).withColumn("expected_freq", F.lit(None).cast("string")))
-    raw = _metrics(series, sigma, min_run, lags, hot_rows)
     if freq_us is None:
+        whole = _metrics(series, sigma, min_run, lags, hot_rows)
+        kept = whole.select("entity", F.col("sampling_irregularity").alias("raw_sampling_irregularity"), F.col("max_gap_seconds").alias("raw_max_gap_seconds"), F.struct(*whole.columns[1:]).alias("own"))
         wide = series.join(grid.inferred_frequency(series), "entity")
         with_freq, width = wide.where("freq_us IS NOT NULL"), F.col("freq_us")
     else:
-        with_freq, width = series, freq_us
+        kept, with_freq, width = _raw(series, sigma, min_run, lags, hot_rows), series, freq_us
     slots = grid.slot_values(with_freq, width, agg)
     per_slot = grid.dense(slots, agg).select("entity", F.col("slot_us").alias("us"), "v") if agg == "sum" else slots.select("entity", (F.col("origin") + F.col("slot") * F.col("width")).alias("us"), "v")
     on_grid = _metrics(per_slot.withColumn("tie", F.struct(F.lit(0).alias("none"))), sigma, min_run, lags, hot_rows).drop("coverage_ratio", "max_gap_seconds", "observation_density", "sampling_irregularity", "span_days", "missing_rate", "row_count")
@@ -171,7 +195,24 @@ and saves the count."""
         F.when(count >= 2, F.col("width") / 1e6).otherwise(0.0).alias("max_gap_seconds"), F.when(count >= 2, count / span).otherwise(count.cast("double")).alias("observation_density"), F.when(count >= 2, span).otherwise(0.0).alias("span_days"),
         frequency_text(F.col("width")).alias("expected_freq"),
     )
-    kept = raw.select("entity", F.col("sampling_irregularity").alias("raw_sampling_irregularity"), F.col("max_gap_seconds").alias("raw_max_gap_seconds"), F.struct(*raw.columns[1:]).alias("own"))
     chosen = kept.join(full.withColumn("gridded", F.lit(True)), "entity", "left")
-    columns = [F.when(F.col("gridded"), F.col(c)).otherwise(F.col(f"own.{c}")).alias(c) for c in raw.columns[1:]]
+    columns = [F.when(F.col("gridded"), F.col(c)).otherwise(F.col(f"own.{c}")).alias(c) for c in ("row_count", "effective_row_count", *METRICS)]
     return named(chosen.select("entity", *columns, "expected_freq", "raw_sampling_irregularity", "raw_max_gap_seconds"))
+
+
+def of_one(df: DataFrame, time: str, value: str, **options: Any) -> dict[str, Any]:
+    """The profile of one series, of a table without an entity. No rows: all figures are 0. Columns that aren't there, or no values at all: a ProfileError."""
+    try:
+        found = profile(series_ops.prepare(df.withColumn("__entity", F.lit(0)), "__entity", time, value), hot_rows=None, **options).first()
+    except MissingColumns as error:
+        raise ProfileError(str(error)) from error
+    if found is None:
+        return {"row_count": 0, "effective_row_count": 0} | dict.fromkeys(METRICS, 0.0)
+    if found.status != "ok":
+        raise ProfileError(f"none of {found.row_count} rows has a value in {value}")
+    return {k: v for k, v in found.asDict().items() if k not in ("entity", "status")}
+
+
+def payload() -> Column:
+    """A profile row as JSON."""
+    return F.to_json(F.struct("row_count", "effective_row_count", *METRICS, "expected_freq"))

@@ -126,6 +126,27 @@ def selected(profiles: DataFrame, gate: Gate | None = None, *, max_models: int =
     })
 
 
+def recommended(profiles: DataFrame, *, max_models: int = 3) -> DataFrame:
+    """entity, place (from 0), model: the recommendation alone."""
+    return advised(profiles, max_models=max_models).select("entity", F.posexplode("recommended_models").alias("place", "model"))
+
+
+def tags_of(model: Column) -> Column:
+    """The tags of a model by name; none for an unknown one."""
+    table = F.create_map(*[x for name, tags in TAGS.items() for x in (F.lit(name), F.array(*map(F.lit, tags)))])
+    return F.coalesce(F.try_element_at(table, model), F.array().cast("array<string>"))
+
+
+def recipe_payload(recipe: Column) -> Column:
+    """A candidate as JSON."""
+    return F.to_json(recipe)
+
+
+def recommendation_payload() -> Column:
+    """A recommendation with its candidates as JSON."""
+    return F.to_json(F.struct("recommended_models", "best_model", "reason", "reasons", "candidates"))
+
+
 def payload() -> Column:
     """A selection as JSON; gate failures appear only if there are any."""
     return F.to_json(F.struct("recommended_models", "reason", "reasons", "best_model", "gate_passed", F.when(F.size("gate_failures") > 0, F.col("gate_failures")).alias("gate_failures")))

@@ -1,15 +1,17 @@
 """Batched runs of a flow over a source, with checkpoints and resume.
 
-The pending rows are written once, a folder for each batch, so a batch reads its own rows alone. Without a checkpoint and without fail_fast there is
-nothing to do between batches, and all of them run as one job. `workers` bounds the partitions, and so the tasks, of a batch.
+The pending rows are written once, a folder for each batch, so a batch reads its own rows alone; each batch's envelopes are a folder of one table, read once
+at the end. `workers` batches run at a time, each a job of its own. Without a checkpoint and without fail_fast there is nothing to do between batches, and
+all of them run as one job.
 """
 
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,33 +20,13 @@ from pyspark.sql import functions as F
 from fleetlens.errors import EntityFailed
 from fleetlens.operators import series
 from fleetlens.operators.checkpoint import CheckpointBackend
-from fleetlens.operators.durable import stored
-from fleetlens.operators.flow import EntityFlow, EntityFlowFunction, EntityFlowResult
+from fleetlens.operators.durable import new_path, stored
+from fleetlens.operators.flow import EntityFlow, EntityFlowFunction, RunSummary, log_entries
 from fleetlens.operators.retry import RetryPolicy
 
 log = logging.getLogger("fleetlens.runner")
 
 
-@dataclass
-class RunSummary:
-    processed: int = 0
-    succeeded: int = 0
-    failed: int = 0
-    skipped: int = 0
-    batches: int = 0
-    retries: int = 0
-    runtime_seconds: float = 0.0
-    peak_memory_mb: float = 0.0
-    results: DataFrame | None = None
-
-    @property
-    def success_rate(self) -> float:
-        return self.succeeded / self.processed if self.processed else 0.0
-
-    def text(self) -> str:
-        return f"{self.processed} processed, {self.succeeded} succeeded, {self.failed} failed, {self.skipped} skipped, {self.retries} retries in {self.batches} batches, {self.runtime_seconds:.1f} s"
-
-
 class EntityRunner:
     def __init__(self, *, source: Any, flow: EntityFlow | EntityFlowFunction, checkpoint: CheckpointBackend | None = None, batch_size: int = 100, workers: int = 1, retries: int = 3, resume: bool = True, fail_fast: bool = False, retry_policy: RetryPolicy | None = None, progress: Callable[[str], None] | None = None):
         if batch_size < 1 or workers < 1 or retries < 1:
@@ -53,8 +35,7 @@ class EntityRunner:
         if not isinstance(self.flow, EntityFlow):
             raise TypeError("flow must be an entity flow")
         self.source, self.checkpoint, self.batch_size, self.workers, self.resume, self.fail_fast = source, checkpoint, batch_size, workers, resume, fail_fast
-        delays = retry_policy or RetryPolicy(jitter=False)
-        self.policy = RetryPolicy(retries, delays.initial_delay_seconds, delays.max_delay_seconds, delays.exponential_base, delays.jitter)
+        self.policy = (retry_policy or RetryPolicy(jitter=False)).with_attempts(retries)
         self.progress = progress or log.info
 
     def run(self, spark: SparkSession) -> RunSummary:
@@ -63,37 +44,45 @@ class EntityRunner:
             self.source.validate(spark)
         df = self.source if isinstance(self.source, DataFrame) else self.source.dataframe(spark)
         self.flow.validate(df)
-        key, todo, skipped = self.flow.entity_key, df.where(F.col(self.flow.entity_key).isNotNull()), 0
-        if self.checkpoint and self.resume and (done := self.checkpoint.completed()):
-            ids = spark.createDataFrame([(x,) for x in sorted(done)], "entity_id string")
-            skipped = series.entities(df, key, ordered=False).join(ids, F.col(key).cast("string") == F.col("entity_id"), "left_semi").count()
-            todo = series.pending(todo, ids, key)
+        key, todo = self.flow.entity_key, df.where(F.col(self.flow.entity_key).isNotNull())
+        out = RunSummary()
+        if self.checkpoint and self.resume:
+            done = stored(self.checkpoint.completed_frame(spark))
+            out.skipped = series.skipped(todo, done, key)
+            todo = series.pending(todo, done, key)
         flow = EntityFlow(self.flow.function, entity_key=key, time_key=self.flow.time_key, output=self.flow.output, columns=self.flow.columns, tiebreak=self.flow.tiebreak, retry=self.policy)
         assigned = stored(series.batches(todo, key, self.batch_size))
-        n = (assigned.agg(F.max("batch")).first()[0] if not assigned.isEmpty() else -1) + 1
-        parts: list[DataFrame] = []
-        if not (self.checkpoint or self.fail_fast):
-            parts = [stored(flow.envelopes(self._spread(todo, key)))] if n else []
-        else:
-            rows = stored(todo.join(assigned, key), by="batch")
-            for batch in range(n):
-                part = stored(flow.envelopes(self._spread(rows.where(F.col("batch") == batch).drop("batch"), key)))
-                parts.append(part)
-                if self.checkpoint:
-                    self.checkpoint.append(EntityFlowResult(part).entries())
-                self.progress(f"batch {batch + 1} of {n} done")
-                if self.fail_fast and (bad := part.where("NOT success").orderBy("entity_id").first()):
-                    raise EntityFailed(bad.entity_id, f"{bad.error_type}: {bad.error_message}")
-        out = RunSummary(skipped=skipped, batches=n)
-        if parts:
-            whole = parts[0]
-            for part in parts[1:]:
-                whole = whole.unionByName(part)
-            r = whole.agg(F.count("*"), F.count_if("success"), F.sum(F.col("attempts") - 1), F.max("memory_delta_mb")).first()
-            out.processed, out.succeeded, out.failed, out.retries, out.peak_memory_mb, out.results = r[0], r[1], r[0] - r[1], r[2] or 0, r[3] or 0.0, whole
+        out.batches = (assigned.agg(F.max("batch")).first()[0] if not assigned.isEmpty() else -1) + 1
+        if out.batches and not (self.checkpoint or self.fail_fast):
+            out.counted(stored(flow.envelopes(todo)))
+        elif out.batches:
+            out.counted(self._batches(flow, stored(todo.join(assigned, key), by="batch"), out.batches))
         out.runtime_seconds = time.time() - began
         self.progress(out.text())
         return out
 
-    def _spread(self, df: DataFrame, key: str) -> DataFrame:
-        return df.repartition(self.workers, key) if self.workers > 1 else df
+    def _batches(self, flow: EntityFlow, rows: DataFrame, n: int) -> DataFrame:
+        """The envelopes of all batches; fail_fast begins no batch behind a failed one."""
+        target, one_at_a_time = new_path(rows.sparkSession, "envelopes"), threading.Lock()
+        schema = flow.envelopes(rows.drop("batch")).schema
+
+        def run(batch: int) -> None:
+            part = stored(flow.envelopes(rows.where(F.col("batch") == batch).drop("batch")), at=f"{target}/batch={batch}")
+            with one_at_a_time:  # the log has one writer
+                if self.checkpoint:
+                    self.checkpoint.append_frame(log_entries(part))
+                self.progress(f"batch {batch + 1} of {n} done")
+            if self.fail_fast and (bad := part.where("NOT success").orderBy("entity_id").first()):
+                raise EntityFailed(bad.entity_id, f"{bad.error_type}: {bad.error_message}")
+
+        if self.workers == 1:
+            for batch in range(n):
+                run(batch)
+        else:
+            with ThreadPoolExecutor(self.workers) as pool:
+                try:
+                    for done in as_completed([pool.submit(run, batch) for batch in range(n)]):
+                        done.result()
+                finally:
+                    pool.shutdown(cancel_futures=True)
+        return rows.sparkSession.read.schema(schema).parquet(target).drop("batch")

@@ -63,6 +63,32 @@ def pending(df: DataFrame, completed: DataFrame, entity: str, *, done_entity: st
     return df.join(done, F.col(entity).cast("string") == F.col("__done"), "left_anti")
 
 
+def skipped(df: DataFrame, completed: DataFrame, entity: str, *, done_entity: str = "entity_id") -> int:
+    """How many entities of df are completed."""
+    return skipped_count(df, completed, entity, done_entity=done_entity).first()[0]
+
+
+def skipped_count(df: DataFrame, completed: DataFrame, entity: str, *, done_entity: str = "entity_id") -> DataFrame:
+    """One row, `skipped`: the entities of df that are completed."""
+    done = completed.select(F.col(done_entity).cast("string").alias("__done")).distinct()
+    return entities(df, entity, ordered=False).join(done, F.col(entity).cast("string") == F.col("__done"), "left_semi").agg(F.count("*").alias("skipped"))
+
+
+def group_sizes(df: DataFrame, entity: str) -> DataFrame:
+    """entity, rows."""
+    return df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count("*").alias("rows"))
+
+
+def without_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows that have a value, NaN being none, in each of these columns."""
+    return df.na.drop(subset=list(columns))
+
+
+def with_times(df: DataFrame, column: str) -> DataFrame:
+    """df with the column as timestamps; null where a text is none."""
+    return df.withColumn(column, F.try_to_timestamp(F.col(column))) if df.schema[column].dataType.simpleString() == "string" else df
+
+
 def batches(df: DataFrame, entity: str, size: int) -> DataFrame:
     """entity and batch (from 0) of each id, in id order. Ids are counted per range first, so no single task numbers all of them."""
     if size < 1:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import from_micros
 from fleetlens.functions.frequency import frequency_text, parse_frequency
-from fleetlens.operators import checkpoint, fleet, flow, gate, grid, profile, rules, series
+from fleetlens.operators import checkpoint, fleet, flow, gate, grid, profile, retry, rules, series
+from fleetlens.streaming.grid import windowed
 
 #: The metrics that queries round and show.
 SHOWN = profile.METRICS
@@ -71,7 +72,7 @@ def skip_completed_anti(spark, sf_dir):
 def skipped_count(spark, sf_dir):
     ev = read(spark, sf_dir, "events")
     done = ev.where("event_type = 'purchase'").select("user_id").distinct()
-    return series.entities(ev, "user_id", ordered=False).join(done, "user_id", "left_semi").agg(F.count("*").alias("skipped"))
+    return series.skipped_count(ev, done, "user_id", done_entity="user_id")
 
 
 @query
@@ -96,7 +97,7 @@ def head_rows_per_entity(spark, sf_dir):
 
 @query
 def group_sizes(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("rows"))
+    return series.group_sizes(read(spark, sf_dir, "lineitem"), "l_suppkey")
 
 
 # Scans and projections
@@ -104,21 +105,21 @@ def group_sizes(spark, sf_dir):
 
 @query
 def source_projection(spark, sf_dir):
-    from fleetlens.sources import ParquetSource, SourceSchema
+    from fleetlens.sources import ParquetSource
 
-    source = ParquetSource(f"{sf_dir}/orders.parquet", selected_columns=["o_orderkey", "o_custkey", "o_totalprice"], schema=SourceSchema(("o_custkey",)), lazy=True)
+    source = ParquetSource(f"{sf_dir}/orders.parquet", selected_columns=["o_orderkey", "o_custkey", "o_totalprice"], required=["o_custkey"], lazy=True)
     return source.dataframe(spark).where("o_totalprice > 100000")
 
 
 @query
 def coerced_times(spark, sf_dir):
     text = F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return read(spark, sf_dir, "events").select("event_id", F.try_to_timestamp(text).isNotNull().alias("is_time"))
+    return series.with_times(read(spark, sf_dir, "events").select("event_id", text.alias("time")), "time").select("event_id", F.col("time").isNotNull().alias("is_time"))
 
 
 @query
 def null_rows_dropped(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value")).na.drop(subset=["value"])
+    return series.without_nulls(read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value")), "value")
 
 
 @query
@@ -187,14 +188,11 @@ def calendar_metrics(spark, sf_dir):
 
 @query
 def resample_2h(spark, sf_dir):
-    ev = read(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "2 hours").alias("w")).agg(F.avg("value").alias("mean_value"))
-    return rounded(ev.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("slot_start"), "mean_value"), "mean_value")
+    return rounded(windowed(read(spark, sf_dir, "events"), "user_id", "ts", "value", "2h").select("user_id", F.col("slot_start").cast("timestamp_ntz").alias("slot_start"), "mean_value"), "mean_value")
 
 
 @query
 def stream_grid(spark, sf_dir):
-    from fleetlens.streaming.grid import windowed
-
     return rounded(windowed(read(spark, sf_dir, "events"), "user_id", "ts", "value", "6h").withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz")), "mean_value")
 
 
@@ -421,5 +419,5 @@ def checkpoint_summary(spark, sf_dir):
 @query
 def retry_delays(spark, sf_dir):
     """Waiting times before attempts 1 to 10, by the default policy without jitter."""
-    wait = F.least(F.lit(0.5) * F.pow(F.lit(2.0), F.col("attempt") - 2), F.lit(30.0))
-    return spark.range(1, 11).select(F.col("id").alias("attempt")).select("attempt", F.when(F.col("attempt") <= 1, 0.0).otherwise(wait).alias("seconds"))
+    policy = retry.RetryPolicy(jitter=False)
+    return spark.createDataFrame([(k, policy.delay(k)) for k in range(1, 11)], "attempt long, seconds double")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
-from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException, PySparkException
@@ -13,36 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.errors import SourceLoadError, SourceNotFound, SourceSchemaError
-from fleetlens.operators.series import standard_names, to_long
-
-
-@dataclass(frozen=True)
-class SourceSchema:
-    """Names that must be there, and names that may be."""
-
-    required_columns: tuple[str, ...] = ()
-    optional_columns: tuple[str, ...] = ()
-
-    def __post_init__(self) -> None:
-        if not self.required_columns and not self.optional_columns:
-            raise ValueError("a schema needs columns")
-
-    @property
-    def all_known_columns(self) -> tuple[str, ...]:
-        return (*self.required_columns, *self.optional_columns)
-
-    def validate_columns(self, columns: Sequence[str]) -> None:
-        if missing := [c for c in self.required_columns if c not in columns]:
-            raise SourceSchemaError(f"missing columns {missing}; there are {list(columns)}")
+from fleetlens.operators.durable import exists
+from fleetlens.operators.series import standard_names, to_long, with_times, without_nulls
 
 
 class Source(ABC):
-    """A table by name; `lazy` sources are read anew by each job, others are kept once read."""
+    """A table by name; `lazy` sources are read anew by each job, others are kept once read. `required` columns must be there, `optional` ones may."""
 
-    def __init__(self, *, selected_columns: Sequence[str] | None = None, schema: SourceSchema | None = None, lazy: bool = False):
-        self.selected_columns, self.schema, self.lazy = list(selected_columns) if selected_columns else None, schema, lazy
+    def __init__(self, *, selected_columns: Sequence[str] | None = None, required: Sequence[str] = (), optional: Sequence[str] = (), lazy: bool = False):
+        self.selected_columns, self.required, self.optional, self.lazy = list(selected_columns) if selected_columns else None, tuple(required), tuple(optional), lazy
         self._kept: DataFrame | None = None
 
+    @property
+    def known_columns(self) -> tuple[str, ...]:
+        return self.required + self.optional
+
     @abstractmethod
     def read(self, spark: SparkSession) -> DataFrame: ...
 
@@ -55,10 +39,9 @@ class Source(ABC):
 
     def validate(self, spark: SparkSession) -> None:
         there = self.columns(spark)
-        if missing := [c for c in self.selected_columns or () if c not in there]:
-            raise SourceSchemaError(f"selected columns {missing} aren't there; there are {there}")
-        if self.schema:
-            self.schema.validate_columns(self.selected_columns or there)
+        for kind, names, among in (("selected", self.selected_columns or (), there), ("required", self.required, self.selected_columns or there)):
+            if gone := set(names).difference(among):
+                raise SourceSchemaError(f"{kind} columns {sorted(gone)} aren't among {among}")
 
     def dataframe(self, spark: SparkSession) -> DataFrame:
         if self._kept is not None:
@@ -85,9 +68,7 @@ class FileSource(Source):
         self.path = path
 
     def validate(self, spark: SparkSession) -> None:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if not exists(spark, self.path):
             raise SourceNotFound(f"{self.path} doesn't exist")
         try:
             super().validate(spark)
@@ -110,8 +91,9 @@ class CSVSource(FileSource):
     def read(self, spark: SparkSession) -> DataFrame:
         reader = spark.read.option("header", True).option("encoding", self.encoding)
         df = (reader.schema(self.types) if self.types else reader.option("inferSchema", True)).csv(self.path)
-        texts = [c for c in self.parse_dates if c in df.columns and df.schema[c].dataType.simpleString() == "string"]
-        return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in texts})
+        for c in self.parse_dates:
+            df = with_times(df, c) if c in df.columns else df
+        return df
 
     def columns(self, spark: SparkSession) -> list[str]:
         return spark.read.option("header", True).option("encoding", self.encoding).csv(self.path).columns
@@ -134,9 +116,9 @@ class JSONLinesSource(FileSource):
 
 def load_fixture(spark: SparkSession, path: str) -> DataFrame:
     """entity_id, timestamp, value of a CSV that has these or a mote's columns."""
-    df = CSVSource(path, parse_dates=["timestamp"], lazy=True).dataframe(spark)
-    named = standard_names(df)
-    SourceSchema(("entity_id", "timestamp", "value")).validate_columns(named.columns)
+    named = standard_names(CSVSource(path, parse_dates=["timestamp"], lazy=True).dataframe(spark))
+    if gone := {"entity_id", "timestamp", "value"}.difference(named.columns):
+        raise SourceSchemaError(f"{path} has no {sorted(gone)}")
     return named.select("entity_id", "timestamp", "value")
 
 
@@ -147,7 +129,7 @@ def load_wide_channels(spark: SparkSession, path: str, channels: Sequence[str],
     text = F.concat_ws(" ", *[F.trim(F.col(c)) for c in time])
     stamp = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
     long = to_long(df.withColumn("timestamp", stamp).withColumns({c: F.expr(f"try_cast(`{c}` AS double)") for c in channels}).select("timestamp", *channels), ["timestamp"], channels)
-    return long.na.drop(subset=["timestamp", "value"]).select("entity_id", "timestamp", "value")
+    return without_nulls(long, "timestamp", "value").select("entity_id", "timestamp", "value")
 
 
 def load_mote_log(spark: SparkSession, path: str) -> DataFrame:
@@ -161,12 +143,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(report: dict[str, Any], path: str) -> None:
-    """A fleet-sized report as JSON, and as text beside it."""
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(report, file, indent=2, default=str)
-    with open(f"{path}.txt", "w", encoding="utf-8") as file:
-        file.writelines(f"{k}: {v}\n" for k, v in report.items())
+def write_report(spark: SparkSession, report: dict[str, Any], path: str) -> None:
+    """A fleet-sized report below path, wherever Spark can write: one line of JSON in `json`, a line for each figure in `text`."""
+    spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
+    spark.createDataFrame([(f"{k}: {v}",) for k, v in report.items()], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/text")
 
 
 def readable(spark: SparkSession, path: str) -> bool:

@@ -11,7 +11,7 @@ from fleetlens.errors import CheckpointError, EntityFailed, GateError, MissingCo
 from fleetlens.functions.columns import fixed
 from fleetlens.functions.frequency import format_frequency, parse_frequency
 from fleetlens.operators import checkpoint, fleet, flow, gate, grid, memory, profile, retry, rules, runner, series
-from fleetlens.sources import CSVSource, JSONLinesSource, ParquetSource, SourceSchema, load_fixture, load_wide_channels, write_report
+from fleetlens.sources import CSVSource, JSONLinesSource, ParquetSource, load_fixture, load_wide_channels, write_report
 
 START = dt.datetime(2024, 1, 1, 5, 10)
 
@@ -220,14 +220,32 @@ def test_runner(spark, tmp_path):
         runner.EntityRunner(source=None, flow=print)
 
 
-def test_concatenated(spark):
-    def twice(frame, ctx):
-        if ctx.entity_id == "c":
-            raise ValueError("c")
-        return pd.DataFrame({"sensor": frame.sensor, "w": frame.v * 2})
+def test_output_that_cannot_be_held_is_a_failure(spark):
+    circular = []
+    circular.append(circular)
+    own = flow.EntityFlow(lambda frame, ctx: circular if ctx.entity_id == "b" else 1, entity_key="sensor", time_key="ts")
+    assert {r.entity_id: r.success for r in own.run(sensors(spark)).envelopes.collect()} == {"a": True, "b": False, "c": True}
 
-    rows, status = flow.concatenated(sensors(spark), twice, "sensor: string, w: double", entity_key="sensor")
-    assert rows.count() == 8 and status.where("NOT success").count() == 1
+
+def test_grid_profile_of_entities_without_times(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", None, 3.0), ("b", START, 2.0), ("b", None, 4.0)], "id string, ts timestamp_ntz, v double")
+    found = {r.entity: r for r in profile.profile(series.prepare(df, "id", "ts", "v"), freq_us=parse_frequency("1D")).collect()}
+    assert found["a"].row_count == 2 and found["a"].expected_freq is None and found["b"].row_count == 1 and found["b"].expected_freq == "D"
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from fleetlens.operators import durable
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        durable.shared_folder(Session())
 
 
 def test_checkpoint_log(spark, tmp_path):
@@ -307,15 +325,14 @@ def test_sources(spark, tmp_path):
     with pytest.raises(SourceNotFound):
         CSVSource(str(tmp_path / "none.csv")).dataframe(spark)
     with pytest.raises(SourceSchemaError):
-        ParquetSource(parquet, schema=SourceSchema(("missing",))).validate(spark)
+        ParquetSource(parquet, required=["missing"]).validate(spark)
     with pytest.raises(SourceSchemaError):
-        ParquetSource(parquet, selected_columns=["value"], schema=SourceSchema(("sensor_id",))).validate(spark)
-    with pytest.raises(ValueError):
-        SourceSchema()
+        ParquetSource(parquet, selected_columns=["value"], required=["sensor_id"]).validate(spark)
     with open(tmp_path / "l.jsonl", "w") as file:
         file.write('{"a": 1}\n{bad\n')
     assert JSONLinesSource(str(tmp_path / "l.jsonl"), "a int", lazy=True).dataframe(spark).where("_corrupt IS NOT NULL").count() == 1
-    write_report({"k": 1}, str(tmp_path / "r.json"))
+    write_report(spark, {"k": 1}, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r" / "text")).first().value == "k: 1"
 
 
 def test_open_data_loaders(spark, tmp_path):
