@@ -13,8 +13,8 @@ a token in it: times (c(token) + 1) / (its tokens + its distinct tokens + 1), wh
 Counts cover all training tokens and are kept in partitioned tables: rows of (bucket, sorted keys, counts), a key being a token's 64-bit hash or a pair of
 numbers of frequent tokens. Frequent histories are dealt by pair, so no bucket depends on one of them. Pairs with a rare token are kept beside that token: with w's count if w is
 rare (side 0), with h's backoff weight if h is (side 1; pairs of two rare tokens on both sides, so each side can tell by itself whether the pair was seen).
-To score, documents are packed in chunks; a chunk sends each bucket its keys once, and the documents that have them; the bucket sums each document's log probabilities; the chunk's
-sums meet again by chunk. Only arrays of the VOCABULARY most frequent tokens are broadcast.
+To score, documents are packed in chunks; a chunk sends each bucket its keys once, and the documents that have them; the bucket sums each document's log probabilities, and answers with
+the sums of the documents that have a key there, so answers are no more than keys however many buckets there are; a chunk's answers meet by chunk. Only arrays of the VOCABULARY most frequent tokens are broadcast.
 
 Defined cases: a null text is an empty one (its end alone is scored); with no training text every token is unknown (score: the slot for tokens never seen);
 rows are independent, so repeated rows, ids and null ids each get a score (a null id counts as an empty text in choosing training rows);
@@ -65,6 +65,26 @@ def expand_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(expand(data), dtype=np.uint64)
 
 
+#: Bits of a sum that an answer leaves out; what is left is exact to 2e-9 of it.
+SPARED = np.uint64(24)
+
+
+def sparse_sums(docs: np.ndarray, values: np.ndarray) -> bytes:
+    """The sums of values by document, of the documents that occur: their numbers, and sums without the last SPARED bits, rounded."""
+    there = np.unique(docs)
+    sums = np.bincount(np.searchsorted(there, docs), values, len(there))
+    bits = (sums.view(np.uint64) + (np.uint64(1) << (SPARED - np.uint64(1)))) >> SPARED
+    numbers = zstandard.compress(np.diff(there, prepend=there.dtype.type(0)).astype("<u2").tobytes(), 1)
+    return len(numbers).to_bytes(4, "little") + numbers + squeeze(bits)
+
+
+def add_sums(data: bytes, to: np.ndarray) -> None:
+    """Adds what sparse_sums() packed to an array of all documents' sums."""
+    n = int.from_bytes(data[:4], "little")
+    there = np.cumsum(np.frombuffer(zstandard.decompress(data[4 : 4 + n]), "<u2").astype(np.int64))
+    to[there] += (expand(data[4 + n :]) << SPARED).view(np.float64)
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -348,12 +368,12 @@ def _held(make: Callable[[], Words]) -> Callable[[], Words]:
     return lambda: common.worker_state(("words", token), make)
 
 
-def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent: int = VOCABULARY) -> Model:
-    """Learns from all of docs (doc_id, text); tables are written below path. Without a vocabulary every token is a word; `frequent` of them are broadcast."""
+def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent: int = VOCABULARY, buckets: int | None = None) -> Model:
+    """Learns from all of docs (doc_id, text); tables are written below path. Without a vocabulary every token is a word; `frequent` of them are broadcast. Tables have a bucket for each BUCKET_BYTES of text, or `buckets`."""
     spark = docs.sparkSession
     own = common.renamed_apart(docs, ["doc_id", "text"])
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(12, math.ceil(size / BUCKET_BYTES))
+    buckets = buckets or max(12, math.ceil(size / BUCKET_BYTES))
     counted(own, lambda c: ((c.hashes % np.uint64(buckets)).astype(np.int64), c.hashes), buckets).write.parquet(f"{path}/unigrams")
     unigrams = spark.read.parquet(f"{path}/unigrams")
     tokens, distinct = (int(x or 0) for x in unigrams.agg(F.sum("tokens"), F.sum("size")).first())
@@ -511,7 +531,7 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(heads.type), pa.binary(), pa.binary(), pa.binary()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-            last = [name % n, 4, name, None, None, None, len(chunk.sizes), None, chunk.sizes.astype("<i8").tobytes(), own[0], own[1]]
+            last = [int(scramble(np.array([name], np.uint64))[0] % np.uint64(n)), 4, name, None, None, None, len(chunk.sizes), None, chunk.sizes.astype("<i8").tobytes(), own[0], own[1]]
             columns = [pa.array([x], t) for x, t in zip(last, types, strict=True)]
             columns[7] = pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), heads)
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -569,15 +589,15 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                 n_docs = batch.column(6)[i].as_py()
                 if role >= 6:
                     logs = rare_log(role - 6, keys, expand(batch.column(8)[i].as_py()))
-                    sums = [None if x is None else np.bincount(owners, np.repeat(x, counts), n_docs).tobytes() for x in logs]
+                    sums = [None if x is None else sparse_sums(owners, np.repeat(x, counts)) for x in logs]
                 elif role == 2:
                     found = met_by(0, keys)
                     h, w = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << SHIFT) - 1)).astype(np.int64)
                     p = np.where(found > 0, d[np.minimum(found, DISCOUNTED + 1)] * found / np.maximum(below[h], 1e-300), alpha[h] * unigram[w])
-                    sums = [np.bincount(owners, np.repeat(np.log10(p), counts), n_docs).tobytes(), None, None]
+                    sums = [sparse_sums(owners, np.repeat(np.log10(p), counts)), None, None]
                 else:
                     found = met_by(1, keys)
-                    sums = [None, *(np.bincount(owners, np.repeat(x, counts), n_docs).tobytes() for x in (np.log10(found + 1.0), found > 0))]
+                    sums = [None, *(sparse_sums(owners, np.repeat(x, counts)) for x in (np.log10(found + 1.0), found > 0))]
                 row = [at_bucket, 5, name, None, None, None, n_docs, None, *sums]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, batch.schema.types, strict=True)], schema=batch.schema)
 
@@ -590,7 +610,7 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                 for j, c in enumerate(("n_tokens", "n_known", "base")):
                     x = rows.column(c)[i].as_py()
                     if x is not None:
-                        sums[j] += np.frombuffer(x)
+                        add_sums(x, sums[j])
         n_tokens = np.frombuffer(rows.column("n_tokens")[k].as_py(), "<i8")
         known, base = (np.frombuffer(rows.column(c)[k].as_py()) for c in ("n_known", "base"))
         rare = n_tokens - known

@@ -420,9 +420,9 @@ def test_katz(spark, docs, texts, tmp_path, words):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in own)) and r.score == pytest.approx(score)
 
 
-@pytest.mark.parametrize("frequent", [katz_lm.VOCABULARY, 300, 1])
-def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent):
-    """Every training token is a word, however few are broadcast."""
+@pytest.mark.parametrize(("frequent", "buckets"), [(katz_lm.VOCABULARY, None), (300, 64), (1, 500)])
+def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent, buckets):
+    """Every training token is a word, however few are broadcast and however many buckets there are."""
     trained = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
     tokens = {d: [*lower(t).encode().split(), b"\n"] for d, t in texts.items()}
     c = Counter(w for d, own in tokens.items() if trained(d) for w in own)
@@ -440,7 +440,7 @@ def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent):
     alpha = {h: (1 - s[h] / below[h]) / (1 - seen[h]) for h in count}
     p = lambda h, w: discount[min(pairs[h, w], 6)] * pairs[h, w] / below[h] if pairs[h, w] else alpha.get(h, 1.0) * max(c[w], 1) / (total + 1)
     marked = docs.select("doc_id", "text", (language_id.remainder(7) == 2).alias("held_out"))
-    model = katz_lm.train(marked.where("NOT held_out"), str(tmp_path / "m"), frequent=frequent)
+    model = katz_lm.train(marked.where("NOT held_out"), str(tmp_path / "m"), frequent=frequent, buckets=buckets)
     for r in katz_lm.score(marked, model, "held_out").collect():
         own = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), total)
@@ -461,6 +461,15 @@ def test_good_turing():
     assert list(katz_lm.discounts([0] * 6))[1:6] == [(r - 0.5) / r for r in range(1, 6)]
 
 
+def test_sparse_sums():
+    rng = np.random.default_rng(1)
+    docs, values = rng.integers(0, 60_000, 4000).astype("<u2"), -rng.random(4000) * 9
+    got = np.ones(60_000)
+    katz_lm.add_sums(katz_lm.sparse_sums(docs, values), got)
+    assert np.allclose(got - 1, np.bincount(docs, values, 60_000), rtol=1e-7)
+    katz_lm.add_sums(katz_lm.sparse_sums(docs[:0], values[:0]), got)
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * 2 + 1)
