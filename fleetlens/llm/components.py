@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import checkpointed
+from fleetlens.llm.common import checkpointed, met
 
+#: Edges beyond which a node of many edges isn't left to one task.
+MANY = 2_000_000
 
-def _starred(edges: DataFrame, smaller_only: bool) -> DataFrame:
+
+def _starred(edges: DataFrame, smaller_only: bool, many: bool) -> DataFrame:
     """Large star: each node hands its least neighbour to its larger ones. Small star: to its smaller ones and itself."""
     both = edges.select("u", "v") if smaller_only else edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    handed = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    handed = met(both, least, ["u"], "n") if many else both.join(least, "u")
     if smaller_only:
         out = handed.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     else:
@@ -20,12 +23,13 @@ def _starred(edges: DataFrame, smaller_only: bool) -> DataFrame:
     return out.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", *, most: int = MANY) -> DataFrame:
     """doc_id and component (its least member) of each node that an edge touches. Edges in any direction; repeated ones and loops count for nothing."""
     now = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     before = None
     while (seen := tuple(now.agg(mark).first()[0])) != before:
         before = seen
-        now = checkpointed(_starred(_starred(now, smaller_only=False), smaller_only=True))
+        many = seen[0] > most
+        now = checkpointed(_starred(_starred(now, smaller_only=False, many=many), smaller_only=True, many=many))
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())

@@ -5,7 +5,7 @@ into coordinate i - t. A coordinate keeps its least (round, hash), so every coor
 once all coordinates are full. Two sets agree in a coordinate with a chance of their Jaccard similarity, with concentration as for independent ones.
 
 Banding: BANDS bands of ROWS coordinates; a pair at similarity 0.8 shares no band with a chance of (1 - 0.8**5)**40 = 1e-7.
-Equal sets are collapsed to one representative (the least doc_id) first; further steps are on representatives.
+Further steps are on distinct sets, told by 128-bit hashes, so copies take no part in them.
 
 Verification without all pairs of a bucket: each bucket has one pivot p, the member that shares most places with others, and p is compared
 with the other members on full sets. A member x differs from p by R (shingles of p that it lacks) and A (those it adds); with
@@ -16,7 +16,7 @@ confirmed by the bound itself, which is exact. Members of one component need no
 No link that the bands propose is lost, no cap is set, and a group of near copies makes no rows for all its pairs.
 
 Defined cases: null and wordless texts have empty sets, are linked with nothing and kept; a text of fewer words than a shingle is one
-shingle; rows with equal ids and equal texts are one class; rows with a null id have a null component, and are kept; further columns are ignored
+shingle; rows with equal ids are one document: all links of its texts count; rows with a null id have a null component, and are kept; further columns are ignored
 (near_duplicates) or kept (keep_one); an empty table gives an empty result.
 """
 
@@ -35,6 +35,8 @@ from fleetlens.llm import common
 from fleetlens.llm.components import connected
 
 BANDS, ROWS = 40, 5
+#: Members of a pivot that one task takes; the rows of a pivot of more go to several, each with a copy of what the pivot has.
+MEMBERS = 1000
 #: Odd multipliers of the mixing steps (fixed values of splitmix64), and the step between rounds.
 MIX_A, MIX_B, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,19 +106,38 @@ def profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its whole set as bytes."""
+    """node (a set's hash) and the whole set as bytes, of each row of docs (doc_id, text) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.byte_texts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, k).tobytes() for x in texts], pa.binary())], names=["doc_id", "shingles"])
+            sets = [s.tobytes() for s in (shingle_set(x, k) for x in common.byte_texts(batch.column(1))) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node binary, shingles binary")
+
+
+def _of_one_document(usable: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of rows (doc_id, node) that share an id."""
+    several = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high"), F.count("*").alias("n")).where("a <> high").drop("high")
+    return common.met(usable.select("doc_id", "node"), several, ["doc_id"], "n").where("a <> node").select("a", F.col("node").alias("b"))
+
+
+def beside(members: DataFrame, of_pivots: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """members (p, x, ...) joined with what pivots (p, ...) have; of pivots in `hot` (p, ways), the members are dealt out in so many ways."""
+    dealt = members.join(hot, "p", "left").withColumn("way", F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("x"), F.col("ways"))).otherwise(0)).drop("ways")
+    copies = of_pivots.join(hot, "p", "left").withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return dealt.join(copies, ["p", "way"], how).drop("way")
+
 
-    return docs.mapInArrow(run, f"doc_id {common.type_of(docs, 'doc_id')}, shingles binary")
+def hot_pivots(pairs: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """p, ways: pivots of many members (at most a pivot for each `members` pairs), to be broadcast where they are counted and few."""
+    hot = common.checkpointed(pairs.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") > members).select("p", F.ceil(F.col("n") / members).alias("ways")))
+    return F.broadcast(hot) if hot.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS else hot
 
 
-def pivoted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def pivoted(pairs: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """For pairs (p, x), in units of 1 / (100 + percent) shingle: room (of p), weight (g of x); and diff: D(x) as bytes, A before R."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "px")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "px")
     kind = common.type_of(pairs, "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +152,7 @@ def pivoted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 diffs.append(np.concatenate([added, removed]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rooms, pa.int64()), pa.array(weights, pa.int64()), pa.array(diffs, pa.binary())], names=["p", "x", "room", "weight", "diff"])
 
-    return pairs.join(left, "p").join(right, "x").select("p", "x", "set_p", "set_x").mapInArrow(run, f"p {kind}, x {kind}, room long, weight long, diff binary")
+    return beside(pairs.join(right, "x"), left.join(pairs.select("p").distinct(), "p"), hot).select("p", "x", "set_p", "set_x").mapInArrow(run, f"p {kind}, x {kind}, room long, weight long, diff binary")
 
 
 def common_elements(members: DataFrame, some: int = 64, most: int = 512) -> DataFrame:
@@ -165,7 +186,7 @@ def rare_first(own: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return own[np.argsort(np.where(there[at] == own, order[at] + 1, 0), kind="stable")]
 
 
-def prefixes(members: DataFrame, percent: int) -> DataFrame:
+def prefixes(members: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """p, x, component, kind, element, and its rest (elements of D(x) from this one on), weight and room: of the elements of D(x) of which any partner
     that x can have shares one. The first that two of them share can't have more of both behind it than the lesser rest, so a join may ask
     (100 + percent) * rest >= weight + weight(y) - room of both sides.
@@ -196,7 +217,7 @@ def prefixes(members: DataFrame, percent: int) -> DataFrame:
         types = [*(like.column(i).type for i in range(3)), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["p", "x", "component", "kind", "element", "rest", "weight", "room"])
 
-    ordered = members.join(common_elements(members), "p", "left").select("p", "x", "component", "room", "weight", "diff", "common")
+    ordered = beside(members, common_elements(members), hot, "left").select("p", "x", "component", "room", "weight", "diff", "common")
     return ordered.mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long, rest int, weight long, room long")
 
 
@@ -217,33 +238,40 @@ def confirmed(candidates: DataFrame, members: DataFrame, percent: int) -> DataFr
     return joined.select(F.col("x").alias("a"), F.col("y").alias("b"), "room", "weight_x", "diff_x", "weight_y", "diff_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, members: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set_hash of each row of docs."""
     own = common.renamed_apart(docs, ["doc_id", "text"])
     seen = common.checkpointed(profiles(own, shingle, bands, rows))
-    reps = seen.where("doc_id IS NOT NULL AND set_hash IS NOT NULL").groupBy("set_hash").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("set_hash", "r.*")
-    places = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = common.checkpointed(places.join(shared, "key"))
-    scores = buckets.groupBy("doc_id").agg(F.sum("members").alias("score"))
-    pivots = buckets.join(scores, "doc_id").groupBy("key").agg(F.max(F.struct("score", "doc_id")).alias("best")).select("key", F.col("best.doc_id").alias("p"))
-    pairs = common.checkpointed(buckets.join(pivots, "key").where("doc_id <> p").select("p", F.col("doc_id").alias("x")).distinct())
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("p")).distinct()
-    sets = common.checkpointed(full_sets(common.semi(own, wanted, "doc_id").dropDuplicates(["doc_id"]), shingle))
-    measured = common.checkpointed(pivoted(pairs, sets, percent))
+    usable = seen.where("doc_id IS NOT NULL AND set_hash IS NOT NULL").withColumnRenamed("set_hash", "node")
+    nodes = usable.groupBy("node").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("node", "r.*")
+    places = nodes.select("node", F.explode("keys").alias("key"))
+    shared = places.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumn("n", F.col("members"))
+    buckets = common.checkpointed(common.met(places, shared, ["key"], "n"))
+    scores = buckets.groupBy("node").agg(F.sum("members").alias("score"))
+    pivots = buckets.join(scores, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("best"), F.max("members").alias("n")).select("key", F.col("best.node").alias("p"), "n")
+    pairs = common.checkpointed(common.met(buckets.select("key", "node"), pivots, ["key"], "n").where("node <> p").select("p", F.col("node").alias("x")).distinct())
+    hot = hot_pivots(pairs, members)
+    # One text of each set that a pair needs: that of its least document, or of any row where ids aren't unique.
+    wanted = common.checkpointed(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct().join(nodes.select("node", "doc_id"), "node"))
+    texts = common.semi(own, wanted.select("doc_id").distinct(), "doc_id")
+    sets = common.checkpointed(full_sets(texts, shingle).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    measured = common.checkpointed(pivoted(pairs, sets, hot, percent))
     links = measured.where("weight <= room").select(F.col("p").alias("a"), F.col("x").alias("b"))
     first = connected(links)
-    members = measured.join(first.withColumnRenamed("doc_id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    mixed = members.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
-    left = common.checkpointed(members.join(mixed, "p"))
-    one = common.checkpointed(prefixes(left, percent))
+    all_members = measured.join(first.withColumnRenamed("doc_id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    mixed = all_members.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("p", "n")
+    left = common.checkpointed(common.met(all_members, mixed, ["p"], "n"))
+    one = common.checkpointed(prefixes(left, hot, percent))
     two = one.select("p", F.col("x").alias("y"), F.col("component").alias("other"), F.col("kind").alias("of_y"), "element", F.col("rest").alias("rest_y"), F.col("weight").alias("weight_y"))
     fitting = f"component <> other AND (kind > 0 AND of_y = 0 OR kind = 1 AND of_y = 1 AND x < y) AND {100 + percent} * least(rest, rest_y) >= weight + weight_y - room"
     candidates = one.where("kind > 0").join(two.where("of_y < 2"), ["p", "element"]).where(fitting).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("p").alias("p"))  # any pivot's bound is exact
-    more = common.checkpointed(confirmed(candidates, left, percent))
+    more = common.checkpointed(confirmed(candidates, left, percent).unionByName(_of_one_document(usable)))
     last = connected(links.unionByName(more).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))) if not more.isEmpty() else first
-    classes = reps.select("set_hash", F.col("doc_id").alias("rep")).join(last.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    labelled = seen.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
+    grouped = nodes.select("node", "doc_id").join(last.withColumnRenamed("doc_id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    classes = common.met(grouped.select("node", "component"), least.where("n > 1"), ["component"], "n").select(F.col("node").alias("set_hash"), "component_id")
+    alone = grouped.join(least.where("n = 1").select("component", "component_id"), "component").select(F.col("node").alias("set_hash"), "component_id")
+    labelled = seen.select("doc_id", "n_shingles", "set_hash").join(classes.unionByName(alone), "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_hash")
 

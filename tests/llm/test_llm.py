@@ -352,6 +352,21 @@ def test_near_dedup_group_around_a_hub(spark, percent):
     assert near_rows(spark.createDataFrame(made, "doc_id long, text string"), shingle=2, percent=percent) == brute_near(made, 2, percent)
 
 
+@pytest.mark.parametrize("members", [1, 7])
+def test_near_dedup_deals_out_hot_pivots(spark, docs, texts, members):
+    assert near_rows(docs, shingle=2, members=members) == brute_near(texts.items(), 2)
+
+
+def test_near_dedup_of_shared_ids(spark):
+    """All texts of an id count, and an id is one document."""
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    made = [(1, one), (2, one[:59] + ["x"]), (2, two), (3, [*two[:58], "y", two[59]]), (4, [f"c{i}" for i in range(60)]), (5, two), (6, []), (6, one)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in made], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, shingle=2).collect())
+    assert got == sorted([(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (6, 6, True), (6, 1, False)])
+    assert near_rows(spark.createDataFrame([(str(d), " ".join(w)) for d, w in made if d != 2], "doc_id string, text string"), shingle=2)["5"][1] == "3"
+
+
 def test_near_cases(odd):
     done = near_dedup.near_duplicates(odd)
     assert done.count() == odd.count()
@@ -373,6 +388,7 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (41, 50), (60, 60)]
     found = {r.doc_id: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40}
+    assert found == {r.doc_id: r.component for r in connected(spark.createDataFrame(edges, "a long, b long"), most=0).collect()}
 
 
 # 6
