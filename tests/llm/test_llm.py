@@ -90,6 +90,13 @@ def test_decontaminate_blocks_and_cases(spark, odd):
     assert (match.match_item_starts, match.match_doc_starts, match.match_words) == ([1], [2], [4])
 
 
+def test_decontaminate_in_blocks(spark, small, docs):
+    """Many blocks find what one finds, and rows with the same text or id have the same finds."""
+    benchmark, twice = common.table(spark, small, "benchmark"), docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(20))
+    whole, parts = (rows(decontaminate.digests(twice, benchmark, window=3, block_bytes=b).toPandas()) for b in (1 << 30, 2000))
+    assert whole == parts and any("True" in r for r in whole)
+
+
 # 2, 7, 9
 
 
@@ -140,6 +147,54 @@ def test_token_counts(docs, texts, odd, word_tokenizer, chunk):
                 assert (r.n_bytes, r.n_tokens, r.over_limit, r.spliced) == (len(text.encode()), n, n > 2048, len(text) > chunk), text[:50]
 
 
+@pytest.mark.parametrize("text", [
+    "今日は、晴れです。" * 4000, "aGVsbG8gd29ybGQ9MTIzNDU2Nzg5MA+/" * 2000, "a" * 60_000, "x'sll've!?'d<|endoftext|>9" * 3000, "ΟΣ.ΑΣ! İ!क़!é," * 3000, "क़!क़?각!" * 3000, "が゙!が?" * 4000,
+])
+def test_token_counts_without_white_space(word_tokenizer, text):
+    coder = pieces.WordEnd(public_tokenizers.path("word_bpe_49k.json"), by_count=True)
+    for chunk in (32_768, 1000, 301):
+        assert token_counts.count_huge(coder, text, chunk, 16) == len(word_tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_random(word_tokenizer):
+    rng, coder = random.Random(6), pieces.WordEnd(public_tokenizers.path("word_bpe_49k.json"), by_count=True)
+    parts = ["a", "The", "1", "42", "'", "'s", "!", "<|", "|>", "<|endoftext|>", "。", "日", "か", "゙", "́", "e", "İ", "Σ", ".", "क़", "가", "ᄀ", "ᅡ", "é", "½", " ", "\n"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(400))
+        assert token_counts.count_huge(coder, text, 60, 8) == len(word_tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_long_words_take_time_in_proportion():
+    """Characters encoded in all are a small multiple of the text's."""
+    coder = pieces.WordEnd(public_tokenizers.path("word_bpe_49k.json"), by_count=True)
+
+    class Counted:
+        def __init__(self):
+            self.n, self.to_str = 0, coder.tokenizer.to_str
+
+        def encode(self, text, **options):
+            self.n += len(text)
+            return coder.tokenizer.encode(text, **options)
+
+    class Own:
+        tokenizer = Counted()
+
+    for text, most in (("a" * 300_000, 8), ("今日は、晴れです。" * 30_000, 1.2)):
+        Own.tokenizer.n = 0
+        token_counts.count_huge(Own, text, 4096)
+        assert Own.tokenizer.n < most * len(text)
+
+
+@pytest.mark.parametrize("kind", ["string", "smallint", "decimal(20,0)", "date", "double", "binary"])
+def test_token_files_of_any_id(spark, tmp_path, kind):
+    made = [(i % 9, f"text number {i} " * (i % 5)) for i in range(60)] + [(None, "no id")]
+    df = spark.createDataFrame(made, "k int, text string").select((F.date_add(F.lit("2024-01-01"), F.col("k")) if kind == "date" else F.col("k").cast("string").cast(kind) if kind == "binary" else F.col("k").cast(kind)).alias("doc_id"), "text")
+    token_files.write_files(df, str(tmp_path / "f"), shards=4, file_tokens=20)
+    found = token_files.read_files(spark, str(tmp_path / "f")).orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert len(found) == 61 and ids[0] is None and ids[1:] == sorted(ids[1:]) and [r.start for r in found] == list(np.cumsum([0, *(r.n_tokens for r in found)])[:-1])
+
+
 def test_token_files(spark, docs, texts, odd, word_tokenizer, tmp_path):
     for k, (table, own) in enumerate(((docs, texts), (odd.where("doc_id > 1"), dict(enumerate(ODD)) | {20: "same words here and there " * 30, 21: "same words here and there " * 30}))):
         token_files.write_files(table, str(tmp_path / str(k)), shards=5, file_tokens=3000)
@@ -156,7 +211,7 @@ def test_token_files(spark, docs, texts, odd, word_tokenizer, tmp_path):
 
 def test_variable_length_coding():
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0, int), np.array([5]), rng.zipf(1.2, 5000) % 49_000, np.arange(70_000), rng.integers(0, 1 << 31, 9)):
+    for ids in (np.zeros(0, int), np.array([5]), rng.zipf(1.2, 5000) % 49_000, np.arange(70_000), rng.integers(0, 1 << 31, 9), np.array([1 << 20, 3, 3]), np.array([(1 << 20) - 1, 7, 7])):
         assert (token_files.unpack(token_files.pack(ids.astype("<u4"))) == ids).all()
     with pytest.raises(ValueError):
         token_files.unpack(b"????" + bytes(20))
@@ -502,6 +557,40 @@ def test_language_id(spark, small, docs):
     assert len(held) and (held.lang_pred == held.lang).mean() > 0.9 and found.score.between(0, 1).all()
 
 
+def test_language_id_against_a_plain_form(spark, small, docs):
+    """Dictionaries from rows picked in plain Python, and sizes of whole compressions, choose the same languages with the same scores."""
+    import zstandard
+
+    table = [r for r in docs.select("doc_id", "lang", "text").collect()]
+    learned, counts = {}, Counter()
+    spark_hash = lambda x: int(np.uint64(xxhash.xxh64_intdigest(str(x).encode(), seed=42)).view(np.int64))
+    for lang in sorted({r.lang for r in table if r.lang}):
+        own = [r for r in table if r.lang == lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+        counts[lang] = len(own)
+        own.sort(key=lambda r: (not 500 <= len(r.text.encode()) <= 8000, spark_hash(r.doc_id), r.doc_id))
+        words = []
+        for _, text in sorted((spark_hash(r.doc_id), r.text) for r in own[:64]):
+            words += language_id.normal(text).split()
+            if sum(map(len, words)) + len(words) >= 2 * 65_536:
+                break
+        words = [w for _, w in sorted(((xxhash.xxh3_64_intdigest(i.to_bytes(8, "little")), w) for i, w in enumerate(words)), key=lambda x: x[0])]
+        learned[lang] = b" ".join(words)[:65_536]
+
+    def size(data, dictionary):
+        level, blocks = (12, [bytes(120) + b" " + data + b" "]) if len(data) < 256 else (5, [data[i : i + 4096] for i in range(0, len(data), 4096)])
+        coder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        return sum(len(coder.compress(b)) for b in blocks)
+
+    found = {r.doc_id: r for r in queries.QUERIES["op8_language_id"](spark, small).collect()}
+    for r in table:
+        got = found[r.doc_id]
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        sizes = sorted((size(language_id.normal(r.text), d), -counts[lang], lang) for lang, d in learned.items())
+        assert (got.lang_pred, got.held_out) == (sizes[0][2], zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and got.score == pytest.approx((sizes[1][0] - sizes[0][0]) / sizes[1][0])
+
+
 def test_language_cases(docs, odd):
     learned = language_id.dictionaries(docs)
     r = {r.doc_id: r for r in language_id.predict(odd, learned).collect()}
