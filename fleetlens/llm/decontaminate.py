@@ -3,7 +3,9 @@
 A shard is a slice of documents as one sequence of word numbers. Its suffix array holds, sorted, the suffixes that begin with the two
 words of some benchmark window (no other suffix can match). Every benchmark suffix of a window or more is binary-searched
 in it; neighbouring finds on one diagonal join to the longest verbatim matches, with their places. Documents never leave their partition.
-The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text (a longer item stands alone), one at a time; each shard meets every block.
+Suffixes that begin otherwise are left out of the array, since a search can't end at one: what is found is the same as in an array of all suffixes.
+A benchmark of over BLOCK_BYTES of text is met block by block: each block is a pass over the documents, with its index built once in a worker, which keeps the finds of
+the texts that have any, by the text's digest; only one block is held by the driver and the workers at a time.
 
 Defined cases: null and wordless texts have no words, hits or items; a null item id is listed as an empty string; repeated items count once, repeated
 documents each get the same result; further columns are ignored or, in remove_contaminated, kept; with an empty benchmark nothing is hit.
@@ -11,13 +13,15 @@ documents each get the same result; further columns are ignored or, in remove_co
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import common
@@ -103,80 +107,108 @@ def _matches(index: Index, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarr
     return item[heads], start[heads], pos[heads], size[heads] + np.diff(np.append(heads, len(pos))) - 1
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark as broadcasts of (item id as text, text), at most block_bytes of text or one item each."""
-    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
+    """The benchmark as lists of (item id as text, text), of about block_bytes of text at most, or one item."""
+    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text")).distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(2 * total / block_bytes) if total > block_bytes else 1
-    sc, out = benchmark.sparkSession.sparkContext, []
     for k in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        out.append(sc.broadcast([(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.collect()]))
-    return out
+        yield [(r[0], bytes(r[1]) if r[1] is not None else None) for r in part.collect()]
+
+
+NAMES = ["n_words", "match_items", "match_item_starts", "match_doc_starts", "match_words"]
+TYPES = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+MATCHES = "n_words long, match_items array<string>, match_item_starts array<int>, match_doc_starts array<int>, match_words array<int>"
+
+
+def _searched(texts: list[bytes], index: Index) -> list[tuple]:
+    """NAMES of each text."""
+    get = index.numbers.get
+    found: list[tuple] = []
+    for rows in common.sliced([len(x) for x in texts]):
+        own = [common.word_array(texts[i], lambda w: get(w, 0), "int32") for i in rows]
+        sizes = np.array([len(x) for x in own], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        tokens = np.zeros(int((sizes + 1).sum()), np.int32)
+        for x, s in zip(own, starts.tolist(), strict=True):
+            tokens[s : s + len(x)] = x
+        made = [(n, [], [], [], []) for n in sizes.tolist()]
+        item, start, pos, size = _matches(index, *index.occurrences(tokens))
+        doc = np.searchsorted(starts, pos, "right") - 1
+        for d, *values in zip(doc.tolist(), [index.ids[i] for i in item.tolist()], start.tolist(), (pos - starts[doc]).tolist(), size.tolist(), strict=True):
+            for out, value in zip(made[d][1:], values, strict=True):
+                out.append(value)
+        found += made
+    return found
+
+
+def _met(docs: DataFrame, block: list[tuple[str, bytes | None]], window: int, hits_only: bool) -> tuple[DataFrame, Callable[[], None]]:
+    """docs with NAMES by one block, or `digest` and NAMES of the distinct texts with finds; and what frees the block."""
+    sent, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = common.worker_state(("windows", token), lambda: Index(sent.value, window))
+        for batch in batches:
+            whole = common.byte_texts(batch.column(at))
+            found = _searched([x.translate(common.PLAIN) if x else b"" for x in whole], index)
+            if hits_only:
+                rows = {hashlib.md5(x).digest(): f for x, f in zip(whole, found, strict=True) if f[1]}
+                columns, found, names = [pa.array(rows.keys(), pa.binary())], list(rows.values()), ["digest", *NAMES]
+            else:
+                columns, names = batch.columns, [*batch.schema.names, *NAMES]
+            added = [pa.array([f[k] for f in found], t) for k, t in enumerate(TYPES)]
+            yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each row of docs (all its columns but those of the result's names) with n_words, n_hit, and the longest matches: arrays match_items, match_item_starts, match_doc_starts, match_words."""
-    blocks = _blocks(benchmark, block_bytes)
-    names = ["n_words", "n_hit", "match_items", "match_item_starts", "match_doc_starts", "match_words"]
-    base = docs.drop(*names)
-    text_at = base.columns.index("text")
+    own = "digest binary" if hits_only else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{own}, {MATCHES}"), sent.destroy
 
-    token = uuid.uuid4().hex
 
-    def index_of(block) -> Index:
-        if len(blocks) == 1:
-            return common.worker_state(("windows", token), lambda: Index(block.value, window))
-        built = Index(block.value, window)
-        block.__dict__.pop("_value", None)  # one block in memory at a time
-        return built
+def n_hit() -> Column:
+    """The words that the union of a row's matches covers."""
+    spans = F.array_sort(F.arrays_zip(F.col("match_doc_starts").alias("p"), F.col("match_words").alias("n")))
+    state = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
+    step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), s["p"] + s["n"] - F.greatest(a["end"], s["p"]))).alias("hit"), F.greatest(a["end"], s["p"] + s["n"]).alias("end"))
+    return F.aggregate(spans, state, step, lambda a: a["hit"].cast("long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.translate(common.PLAIN) if x else b"" for x in common.byte_texts(batch.column(text_at))]
-            found: list[list] = [[0, [], [], [], [], []] for _ in texts]  # n_words, covered spans, then the match columns
-            for block in blocks:
-                index = index_of(block)
-                get = index.numbers.get
-                for rows in common.sliced([len(x) for x in texts]):
-                    own = [common.word_array(texts[i], lambda w: get(w, 0), "int32") for i in rows]
-                    sizes = np.array([len(x) for x in own], np.int64)
-                    starts = np.cumsum(sizes + 1) - sizes - 1
-                    tokens = np.zeros(int((sizes + 1).sum()), np.int32)
-                    for x, s in zip(own, starts.tolist(), strict=True):
-                        tokens[s : s + len(x)] = x
-                    for i, n in zip(rows, sizes.tolist(), strict=True):
-                        found[i][0] = n
-                    item, start, pos, size = _matches(index, *index.occurrences(tokens))
-                    doc = np.searchsorted(starts, pos, "right") - 1
-                    for d, i, s, p, n in zip(doc.tolist(), item.tolist(), start.tolist(), (pos - starts[doc]).tolist(), size.tolist(), strict=True):
-                        for out, value in zip(found[rows[d]][2:], (index.ids[i], s, p, n), strict=True):
-                            out.append(value)
-            hits = []
-            for _, _, _, _, places, sizes in found:
-                hit, end = 0, 0
-                for p, n in sorted(zip(places, sizes, strict=True)):
-                    hit += max(0, p + n - max(end, p))
-                    end = max(end, p + n)
-                hits.append(hit)
-            added = [pa.array([f[0] for f in found], pa.int64()), pa.array(hits, pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.string())), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (3, 4, 5))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, n_words long, n_hit long, match_items array<string>, match_item_starts array<int>, match_doc_starts array<int>, match_words array<int>")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Each row of docs (all its columns but those of the result's names) with n_words, n_hit, and the longest matches: arrays match_items, match_item_starts, match_doc_starts, match_words."""
+    base = docs.drop(*NAMES, "n_hit")
+    blocks = _blocks(benchmark, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        found, _ = _met(base, block, window, hits_only=False)
+    else:
+        parts = []
+        texts = base.select("text")
+        while block is not None:
+            part, free = _met(texts, block, window, hits_only=True)
+            parts.append(common.checkpointed(part.dropDuplicates(["digest"])))
+            free()
+            block, following = following, next(blocks, None)
+        found_by_text = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in NAMES[1:]])
+        lists = common.checkpointed(found_by_text.select(F.col("digest").alias("__digest"), F.struct(*NAMES[1:]).alias("__found")))
+        counted, _ = _met(base, [], window, hits_only=False)
+        marked = counted.drop(*NAMES[1:]).withColumn("__digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+        joined = common.with_lists(marked, lists, "__digest", "__found")
+        empty = {"match_items": "array<string>"}
+        found = joined.select(*[F.col(f"`{c}`") for c in base.columns], "n_words", *[F.coalesce(F.col("__found")[c], F.array().cast(empty.get(c, "array<int>"))).alias(c) for c in NAMES[1:]])
+    return found.select(*[F.col(f"`{c}`") for c in base.columns], "n_words", n_hit().alias("n_hit"), *NAMES[1:])
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that have no benchmark window, with their own columns."""
     clash = {"n_words", "n_hit", "match_items", "match_item_starts", "match_doc_starts", "match_words"} & set(docs.columns)
     apart = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-    clean = find_matches(apart, benchmark, window=window).where("n_hit = 0").select([F.col(f"`{c}`") for c in apart.columns])
+    clean = find_matches(apart, benchmark, window=window, block_bytes=block_bytes).where("n_hit = 0").select([F.col(f"`{c}`") for c in apart.columns])
     return clean.withColumnsRenamed({f"__own_{c}": c for c in clash})
 
 
-def digests(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     items = F.array_sort(F.array_distinct("match_items"))
-    found = find_matches(common.renamed_apart(docs, ["doc_id", "text"]), benchmark, window=window)
+    found = find_matches(common.renamed_apart(docs, ["doc_id", "text"]), benchmark, window=window, block_bytes=block_bytes)
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.coalesce(F.array_max("match_words"), F.lit(0)).alias("longest_match"))
 
 
