@@ -48,7 +48,7 @@ class Powers:
 
 def prefix_sums(words: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of words[j] * base**j below each place, and the powers of the inverse."""
-    up, down = common.worker_state(("powers", base), lambda: Powers(base)).grown(len(words) + 1)
+    up, down = common.worker_state("powers", lambda: {b: Powers(b) for b in BASES})[base].grown(len(words) + 1)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])]), down
 
 
@@ -112,17 +112,17 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 def removals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id and `spans`, its removed stretches as (start, n): the first window and the number of windows."""
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    found = _segments(own, window, gram)
-    shared = found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("fp")
-    kept = common.checkpointed(found.join(shared, "fp"))
-    firsts = kept.groupBy("fp", "seg").agg(F.min("doc_id").alias("first"))
-    later = kept.join(firsts, ["fp", "seg"]).where("doc_id > first").select("doc_id", "start", "n")
-    several = firsts.groupBy("fp").agg(F.min("seg").alias("a"), F.max("seg").alias("b")).where("a < b").select("fp")
-    open_segments = firsts.join(several, "fp").withColumnRenamed("first", "doc_id").join(kept, ["fp", "seg", "doc_id"])
+    found = common.checkpointed(_segments(own, window, gram))
+    shared = found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("fp", "rows")
+    kept = common.checkpointed(common.met(found, shared, ["fp"], "rows"))
+    firsts = common.checkpointed(kept.groupBy("fp", "seg").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    later = common.met(kept, firsts.where("rows > 1"), ["fp", "seg"], "rows").where("doc_id > first").select("doc_id", "start", "n")
+    several = firsts.groupBy("fp").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.count("*").alias("rows")).where("a < b").select("fp", "rows")
+    open_segments = common.met(firsts.drop("rows"), several, ["fp"], "rows").withColumnRenamed("first", "doc_id").join(kept, ["fp", "seg", "doc_id"])
     spans = common.checkpointed(open_segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    windows = _windows(common.semi(own, spans.select("doc_id"), "doc_id").join(spans, "doc_id"), window)
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    single = windows.join(least, ["h1", "h2"]).where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
+    windows = common.checkpointed(_windows(common.semi(own, spans.select("doc_id"), "doc_id").join(spans, "doc_id"), window))
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("first < last").drop("last")
+    single = common.met(windows, least, ["h1", "h2"], "rows").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
     return later.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
