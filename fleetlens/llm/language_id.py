@@ -6,7 +6,7 @@ as one space, is compressed in blocks of BLOCK_BYTES with each dictionary; the s
 A text is rejected if it has no letter, or if its margin is under `min_margin`.
 
 Bounds of the sample (documented parameters): SAMPLE_ROWS rows of each language, those of MIN_BYTES to MAX_BYTES bytes first, in the order of a hash of their
-ids; DICTIONARY_BYTES of their words. Only whole texts are predicted, all of them.
+ids, of each at most SAMPLE_CHARS characters; DICTIONARY_BYTES of their words. Only whole texts are predicted, all of them.
 
 Defined cases: text null or without a letter: `und`, score 0, rejected; nothing learned (no labelled row): the same; equal sizes: the language with more labelled
 rows, then the first by name, score 0, rejected; rows are independent, so repeated rows and ids, null ids and further columns change nothing.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import common
 
-SAMPLE_ROWS, MIN_BYTES, MAX_BYTES, DICTIONARY_BYTES = 64, 500, 8000, 65_536
+SAMPLE_ROWS, MIN_BYTES, MAX_BYTES, SAMPLE_CHARS, DICTIONARY_BYTES = 64, 500, 8000, 1_000_000, 65_536
 LEVEL, BLOCK_BYTES, MIN_MARGIN = 5, 4096, 0.005
 #: A text under SHORT_BYTES is compressed at a higher level and behind zeros, or it would be stored as it is whatever the dictionary.
 SHORT_BYTES, SHORT_LEVEL, PADDING = 256, 12, bytes(120)
@@ -36,13 +36,13 @@ def normal(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text).lower().strip().encode("utf-8", errors="replace")
 
 
-def dictionaries(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
+def dictionaries(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary), of labelled rows (doc_id, text, lang); languages with more documents first."""
     own = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy((~F.col("n").between(MIN_BYTES, MAX_BYTES)).cast("int"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id"))
     chosen = own.withColumn("rank", rank).where(F.col("rank") <= rows).select("doc_id", "lang").distinct()
     found: dict[str, list] = {}
-    for r in common.semi(labelled.where("text IS NOT NULL").select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"]).select("lang", F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0)), F.col("text").substr(1, 16 * size)).collect():
+    for r in common.semi(labelled.where("text IS NOT NULL").select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"]).select("lang", F.coalesce(F.xxhash64(F.col("doc_id").cast("string")), F.lit(0)), F.col("text").substr(1, chars)).collect():
         found.setdefault(r[0], []).append((r[1], r[2]))
     out = []
     frequent = {r[0]: r[1] for r in own.groupBy("lang").count().where(F.col("lang").isin(list(found))).collect()} if found else {}
