@@ -1,12 +1,13 @@
 """Token files: frequency-ranked ids in a byte-aligned variable-length coding with separate control bytes.
 
 A token file is one row of a Parquet table that Spark writes and reads, so that any store Spark knows can hold it. Files follow one
-another in ascending doc_id order (columns `shard`, `part`) and hold whole documents; a file is closed once it has FILE_TOKENS ids.
+another in ascending doc_id order (columns `shard`, `part`) and hold whole documents; a file is closed once it has FILE_TOKENS ids. Ids may be of any
+type that Spark orders: shards are ranges of (doc_id, a hash of the text), so that not even rows of one id are left to one task.
 `payload` is: magic, number of ids, number of ranks (unsigned 32-bit); the ids by rank, most frequent first (32-bit each);
 control bytes, with two bits for each of four ids, its rank's bytes less one; then the ranks' bytes, lowest first.
 
 Defined cases: a null text is an empty one; each document gets the end id, also an empty one; null ids come first; rows with equal ids
-keep an order by text; further columns are ignored; an empty table makes no files and an empty result.
+keep an order by a hash of the text; further columns are ignored; an empty table makes no files and an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +28,23 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 FILE_TOKENS = 1 << 20
 MAGIC = b"RVB1"
+#: Ids below it are counted in an array.
+DENSE_IDS = 1 << 20
 
 
 def pack(ids: np.ndarray) -> bytes:
     """The payload of a file with these ids."""
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < DENSE_IDS:
+        by_id = np.bincount(ids)
+        distinct = np.flatnonzero(by_id)
+        counts, places = by_id[distinct], ids
+    else:
+        distinct, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        by_id = np.zeros(len(distinct))
     by_rank = np.lexsort((distinct, -counts))
-    rank_of = np.empty(len(distinct), np.uint32)
-    rank_of[by_rank] = np.arange(len(distinct), dtype=np.uint32)
-    ranks = rank_of[inverse.reshape(-1)]
+    rank_of = np.empty(len(by_id), np.uint32)
+    rank_of[distinct[by_rank] if places is ids else by_rank] = np.arange(len(distinct), dtype=np.uint32)
+    ranks = rank_of[places.reshape(-1)]
     extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     quads = np.zeros(-len(ids) % 4 + len(ids), np.uint8)
     quads[: len(ids)] = extra
@@ -69,10 +78,10 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 def ranged(docs: DataFrame, n: int) -> DataFrame:
-    """docs dealt to n partitions by ranges of doc_id, and `shard`, the range; sorted within."""
-    points = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), 10_000)).first()[0] if n > 1 else None
-    shard = F.size(F.filter(F.array(*[F.lit(p) for p in sorted(set(points or []))]), lambda p: p <= F.col("doc_id"))) if points else F.lit(0)
-    return docs.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int")).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    """doc_id and text, dealt to n partitions by ranges, null ids first, and sorted within."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def write_files(docs: DataFrame, target: str, *, path: str | None = None, end_id: int = END_ID, shards: int | None = None, file_tokens: int = FILE_TOKENS) -> None:
@@ -80,31 +89,34 @@ def write_files(docs: DataFrame, target: str, *, path: str | None = None, end_id
     path = path or pieces.default_path(VOCABULARY)
     own = common.renamed_apart(docs, ["doc_id", "text"])
     id_type = common.type_of(own, "doc_id")
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         coder = common.worker_state(("word", path), lambda: pieces.WordEnd(path))
-        shard, part, held, ids = None, 0, 0, []
+        shard, part, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
         coded: list[bytes] = []
 
         def file() -> pa.RecordBatch:
-            rows = [[shard], [part], [held], [ids], [[len(x) // 4 for x in coded]], [pack(np.frombuffer(b"".join(coded), "<u4"))]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(arrow_id), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["shard", "part", "n_tokens", "doc_ids", "doc_tokens", "payload"])
+            of_docs = pa.concat_arrays(ids)
+            columns = [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(of_docs)], pa.int32()), of_docs)]
+            columns += [pa.array([[len(x) // 4 for x in coded]], pa.list_(pa.int32())), pa.array([pack(np.frombuffer(b"".join(coded), "<u4"))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "part", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
         for batch in batches:
             texts = [x or b"" for x in common.byte_texts(batch.column(1))]
-            doc_ids, at = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            first = 0  # of the rows of this batch in the open file
             for rows in common.sliced([len(x) for x in texts]):
                 for i, x in zip(rows, coder.encode([texts[i].decode("utf-8", errors="replace") for i in rows]), strict=True):
-                    if coded and (held >= file_tokens or at[i] != shard):
+                    if held >= file_tokens:
+                        ids.append(batch.column(0).slice(first, i - first))
                         yield file()
-                        part, held, ids, coded = part + 1 if at[i] == shard else 0, 0, [], []
-                    shard = at[i]
+                        first, part, held, ids, coded = i, part + 1, 0, [], []
                     coded.append(x + end)
-                    ids.append(doc_ids[i])
                     held += len(x) // 4 + 1
+            ids.append(batch.column(0).slice(first))
         if coded:
             yield file()
 
@@ -117,8 +129,12 @@ def read_files(spark: SparkSession, target: str, *, with_ids: bool = False) -> D
     """Per document, from its file: doc_id, start, n_tokens, ids_crc32, and `ids` if asked for."""
     files = spark.read.parquet(target)
     id_type = files.schema["doc_ids"].dataType.elementType.simpleString()
-    before = W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)
-    starts = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
+    # Sums within shards first: one task sees a row a shard, not a row a file.
+    before = lambda *order: W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before("shard")), F.lit(0)).alias("shard_start"))
+    own = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    placed = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("own_start")).join(shards, "shard")
+    starts = placed.select("shard", "part", (F.col("shard_start") + F.col("own_start")).alias("file_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
