@@ -128,23 +128,67 @@ def word_array(data: bytes | None, get: Callable[[bytes], Any], dtype: str) -> A
     return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets all words when it holds too many."""
+def spread(x: Any) -> Any:
+    """64-bit numbers, each bit of which depends on all bits of x (splitmix64's last steps)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def distinct(x: Any) -> Any:
+    """Sorted distinct values."""
+    import numpy as np
+
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class _Bytes:
+    """What word_hashes needs: powers of an odd base and of its inverse, modulo 2**64, a number for each byte, and which bytes are white space."""
 
-    MOST = 300_000
+    BASE, PIECE = 0x9E3779B97F4A7C15, 1 << 19
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self):
+        import numpy as np
 
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(self.PIECE - 1, b, np.uint64)])) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        self.numbers = spread((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(self.BASE))
+        self.white = np.array([bool(_CUT.match(bytes([b]))) for b in range(256)])
 
 
 def word_hashes(data: bytes | None) -> Any:
-    """64-bit hashes of the words of a text, in order."""
-    return word_array(data, worker_state("word hashes", WordHashes).__getitem__, "uint64")
+    """64-bit hashes of the SPACE_WORDs of a text, in order: Rabin-Karp hashes of their bytes from sums over the text, piece by piece. Words longer than a piece are hashed by xxh3."""
+    import numpy as np
+    import xxhash
+
+    if not data:
+        return np.zeros(0, np.uint64)
+    own = worker_state("bytes", _Bytes)
+    out, at, most = [], 0, own.PIECE
+    while at < len(data):
+        piece = np.frombuffer(data, np.uint8, min(most, len(data) - at), at)
+        white = own.white[piece]
+        if at + len(piece) < len(data):  # words end within the piece
+            if not white.any():
+                cut = _CUT.search(data, at + len(piece))
+                stop = cut.start() if cut else len(data)
+                if stop - at > most:
+                    out.append(np.array([xxhash.xxh3_64_intdigest(data[at:stop])], np.uint64))
+                    at = stop
+                    continue
+                n = stop - at
+            else:
+                n = len(white) - int(np.argmax(white[::-1]))
+            piece, white = piece[:n], white[:n]
+        edges = np.diff((~white).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(own.numbers[piece] * own.up[: len(piece)], out=sums[1:])
+        out.append(spread((sums[ends] - sums[starts]) * own.down[starts]))
+        at += len(piece)
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def type_of(df: DataFrame, column: str) -> str:
@@ -162,17 +206,24 @@ def semi(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", mos
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, how)
 
 
-def met(df: DataFrame, keys: DataFrame, on: Sequence[str], rows: str, most: int = BROADCAST_IDS) -> DataFrame:
-    """df joined with keys (unique in `on`; `rows` tells how many rows of df have each). Keys are broadcast if they are counted and few. Else the
-    `most` commonest are, and the others, none of which has more than a share of 1 / most of df's rows, are met by a shuffle: no task gets all rows of a common key."""
+#: Rows from which a key is common.
+HOT_ROWS = 2000
+
+
+def met(df: DataFrame, keys: DataFrame, on: Sequence[str], rows: str, *, most: int = BROADCAST_IDS, hot_rows: int = HOT_ROWS, few: bool = True) -> DataFrame:
+    """df joined with keys (unique in `on`; `rows` tells how many rows of df have each).
+
+    Common keys, of over hot_rows rows (or, should they be more than `most`, of more rows yet), are broadcast, so no task gets all rows of one; the others are
+    met by a shuffle. With `few`, all keys are broadcast where they are counted and at most `most`."""
     keys = checkpointed(keys)
-    n = keys.limit(most + 1).count()
-    if n <= most:
+    if few and keys.limit(most + 1).count() <= most:
         return df.join(F.broadcast(keys.drop(rows)), list(on))
-    n = keys.count()
-    cut = keys.select(F.percentile_approx(rows, 1 - most / n / 2, 10_000)).first()[0]
-    common = keys.where(F.col(rows) > cut).drop(rows)
-    return df.join(F.broadcast(common), list(on)).unionByName(df.join(keys.where(F.col(rows) <= cut).drop(rows).hint("shuffle_hash"), list(on)))
+    common = keys.where(F.col(rows) > hot_rows)
+    if (n := common.count()) > most:
+        hot_rows = common.select(F.percentile_approx(rows, 1 - most / n / 2, 10_000)).first()[0]
+        common = keys.where(F.col(rows) > hot_rows)
+    rest = df.join(keys.where(F.col(rows) <= hot_rows).drop(rows), list(on))
+    return df.join(F.broadcast(common.drop(rows)), list(on)).unionByName(rest) if n else rest
 
 
 def with_lists(df: DataFrame, lists: DataFrame, column: str, added: str) -> DataFrame:

@@ -7,14 +7,11 @@ Every training token is a word of the model. Per token:
 
 d is Good-Turing's discount for counts up to DISCOUNTED. alpha(h) makes P(. | h) sum to 1 exactly; c'(h) is c(h), or c(h) + 1 where no count of h is discounted.
 
-With a `vocabulary`, only that many most frequent tokens are words, and all others one class, UNKNOWN, both as w and as h, of P(UNKNOWN) = (c(UNKNOWN) + 1) / (N + 1);
-a token in it: times (c(token) + 1) / (its tokens + its distinct tokens + 1), which leaves a slot for tokens never seen.
-
 Counts cover all training tokens and are kept in partitioned tables: rows of (bucket, sorted keys, counts), a key being a token's 64-bit hash or a pair of
 numbers of frequent tokens. Frequent histories are dealt by pair, so no bucket depends on one of them. Pairs with a rare token are kept beside that token: with w's count if w is
 rare (side 0), with h's backoff weight if h is (side 1; pairs of two rare tokens on both sides, so each side can tell by itself whether the pair was seen).
 To score, documents are packed in chunks; a chunk sends each bucket its keys once, and the documents that have them; the bucket sums each document's log probabilities, and answers with
-the sums of the documents that have a key there, so answers are no more than keys however many buckets there are; a chunk's answers meet by chunk. Only arrays of the VOCABULARY most frequent tokens are broadcast.
+the sums of the documents that have a key there, so answers are no more than keys however many buckets there are; a chunk's answers meet by chunk. Only arrays of the FREQUENT most frequent tokens are broadcast.
 
 Defined cases: a null text is an empty one (its end alone is scored); with no training text every token is unknown (score: the slot for tokens never seen);
 rows are independent, so repeated rows, ids and null ids each get a score (a null id counts as an empty text in choosing training rows);
@@ -38,10 +35,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm import common
 from fleetlens.llm.language_id import remainder
 
-VOCABULARY, DISCOUNTED = 65_000, 5
+FREQUENT, DISCOUNTED = 65_000, 5
 EXACT = 4096
 CHUNK_TOKENS, CHUNK_DOCS, BUCKET_BYTES = 2_000_000, 60_000, 20_000_000
-#: The end's hash; no word has white space. Numbers of the classes beyond the words: unknown, and the start of a text.
+#: The end's hash, and the bits of a frequent token's number.
 END = xxhash.xxh3_64_intdigest(b"\n")
 SHIFT = 17
 
@@ -71,7 +68,7 @@ SPARED = np.uint64(24)
 
 def sparse_sums(docs: np.ndarray, values: np.ndarray) -> bytes:
     """The sums of values by document, of the documents that occur: their numbers, and sums without the last SPARED bits, rounded."""
-    there = np.unique(docs)
+    there = common.distinct(docs)
     sums = np.bincount(np.searchsorted(there, docs), values, len(there))
     bits = (sums.view(np.uint64) + (np.uint64(1) << (SPARED - np.uint64(1)))) >> SPARED
     numbers = zstandard.compress(np.diff(there, prepend=there.dtype.type(0)).astype("<u2").tobytes(), 1)
@@ -90,8 +87,23 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def counted_keys(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each occurs, or its sum of weights (whole numbers)."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if weights is None:
+        return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint64)
+    return keys[first], np.add.reduceat(weights, first).astype(np.uint64) if len(first) else weights[:0]
+
+
 class Words:
-    """The model's words: sorted hashes with numbers and counts; numbers go by frequency."""
+    """The frequent tokens: hashes with numbers and counts; numbers go by frequency. Other tokens have the number `unknown`."""
+
+    SLOT_BITS = 20
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, hot_from: float):
         self.size = len(hashes)
@@ -99,12 +111,20 @@ class Words:
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
         self.hot = np.concatenate([counts >= hot_from, [True, True]])
+        # By its first bits, a hash meets its slot: the place of the one word there, or -1; hashes of slots with several words are searched.
+        slots = (self.hashes >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        self.places = np.full(1 << self.SLOT_BITS, -1, np.int32)
+        self.places[slots] = np.arange(self.size, dtype=np.int32)
+        several = np.bincount(slots, minlength=1 << self.SLOT_BITS) > 1
+        self.places[several] = -2
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         if not self.size:
             return np.full(len(hashes), self.unknown)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], self.unknown)
+        at = self.places[(hashes >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)]
+        searched = np.flatnonzero(at == -2)
+        at[searched] = np.minimum(np.searchsorted(self.hashes, hashes[searched]), self.size - 1)
+        return np.where((at >= 0) & (self.hashes[at] == hashes), self.numbers[at], self.unknown)
 
     def buckets(self, pairs: np.ndarray, n: int) -> np.ndarray:
         """Of pairs (h << SHIFT | w): by h, or by the pair where h is frequent."""
@@ -154,9 +174,8 @@ def pairs_of(chunk: Chunk, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return numbers, before.astype(np.uint64) << np.uint64(SHIFT) | numbers.astype(np.uint64)
 
 
-def rare_pairs(chunk: Chunk, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def rare_pairs(chunk: Chunk, words: Words, numbers: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """By side: hashes of the rare token of each pair (0: w, 1: h), the other token (its number, or its hash if it is rare, too), and which tokens these are."""
-    numbers, pairs = pairs_of(chunk, words)
     before = (pairs >> np.uint64(SHIFT)).astype(np.int64)
     codes = np.where(numbers == words.unknown, chunk.hashes, numbers.astype(np.uint64))
     codes_before = np.where(before == words.unknown, np.roll(chunk.hashes, 1), before.astype(np.uint64))
@@ -192,90 +211,101 @@ def _cut(buckets: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
 COUNTS = "bucket int, keys binary, counts binary"
 
 
-def counted(docs: DataFrame, keyed: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], n: int) -> DataFrame:
-    """COUNTS of the keys of all tokens of docs; keyed gives each token's bucket and key. One row a bucket, with size, tokens, and counts of counts up to DISCOUNTED + 1."""
+def bucketed(buckets: np.ndarray, n: int) -> np.ndarray:
+    """The order that brings buckets together and keeps what is in each as it is."""
+    return np.argsort(buckets.astype(np.uint16) if n < 65_536 else buckets, kind="stable")
+
+
+def of_counts(counts: np.ndarray) -> list[int]:
+    """How many counts there are of 1 to DISCOUNTED + 1."""
+    return np.bincount(np.minimum(counts, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2].tolist()
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def counted(docs: DataFrame, n: int) -> DataFrame:
+    """COUNTS of all tokens of docs, by the hash's bucket. One row a bucket, with size and tokens."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            buckets, keys = keyed(chunk)
-            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            buckets = buckets[first]
-            order = np.argsort(buckets, kind="stable")
-            keys, counts, buckets = keys[order], counts[order], buckets[order]
-            out = [(b, squeeze_sorted(keys[s]), squeeze(counts[s])) for b, s in _cut(buckets, n)]
-            if not out:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "keys", "counts"])
-
-    def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        return distinct, np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.uint64)
+            keys, counts = counted_keys(chunk.hashes)
+            buckets = (keys % np.uint64(n)).astype(np.int64)
+            order = bucketed(buckets, n)
+            keys, counts = keys[order], counts[order]
+            yield batch_of([(b, squeeze_sorted(keys[s]), squeeze(counts[s])) for b, s in _cut(buckets[order], n)], schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for b, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                own = held.setdefault(b, [[], []])
-                own[0].append(expand_sorted(k))
-                own[1].append(expand(c))
-                if sum(map(len, own[0][1:])) > 4_000_000:  # what is held follows the distinct keys
-                    held[b] = [[x] for x in merged(*own)]
+                own = held.setdefault(b, [])
+                own.append((expand_sorted(k), expand(c)))
+                if sum(len(x[0]) for x in own[1:]) > 4_000_000:  # what is held follows the distinct keys
+                    own[:] = [counted_keys(*map(np.concatenate, zip(*own, strict=True)))]
         for b, own in held.items():
-            keys, counts = merged(*own)
-            of_counts = np.bincount(np.minimum(counts, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-            row = [[b], [squeeze_sorted(keys)], [squeeze(counts)], [len(keys)], [int(counts.sum())], [of_counts.tolist()]]
-            types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["bucket", "keys", "counts", "size", "tokens", "of_counts"])
-
-    return docs.mapInArrow(parts, COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{COUNTS}, size long, tokens long, of_counts array<long>")
-
+            keys, counts = counted_keys(*map(np.concatenate, zip(*own, strict=True)))
+            yield batch_of([(b, squeeze_sorted(keys), squeeze(counts), len(keys), int(counts.sum()))], schema.append(pa.field("size", pa.int64())).append(pa.field("tokens", pa.int64())))
 
-RARE = "bucket int, side int, owner binary, other binary, counts binary"
+    return docs.mapInArrow(parts, COUNTS).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{COUNTS}, size long, tokens long")
 
 
-def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-RARE_SCHEMA = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("owner", pa.binary()), ("other", pa.binary()), ("counts", pa.binary())])
+PAIRS = "bucket int, side int, owner binary, other binary, counts binary"
+PAIRS_SCHEMA = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("owner", pa.binary()), ("other", pa.binary()), ("counts", pa.binary())])
 BACKOFF_SCHEMA = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("s", pa.binary()), ("p", pa.binary())])
 
 
-def counted_rare(docs: DataFrame, words: Callable[[], Words], n: int) -> DataFrame:
-    """RARE: pairs with a rare token, by that token's bucket and sorted by it, and of_counts (pairs of two rare tokens count on side 0 only). One row a bucket and side."""
+def counted_pairs(docs: DataFrame, words: Callable[[], Words], n: int) -> DataFrame:
+    """PAIRS of all tokens of docs in one pass, one row a bucket and side, and of_counts (pairs of two rare tokens count on side 0 only). Side -1: pairs of frequent tokens,
+    `owner` being both numbers and `other` null. Sides 0 and 1: pairs with a rare token, by that token's bucket and sorted by it."""
 
     def distinct(owner: np.ndarray, other: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, first, inverse = np.unique(pair_key(owner, other), return_index=True, return_inverse=True)
-        owner, other, counts = owner[first], other[first], np.bincount(inverse, None if counts is None else counts.astype(np.float64), len(first)).astype(np.uint64)
-        order = np.argsort(owner)
-        return owner[order], other[order], counts[order]
+        order = np.lexsort((other, owner))
+        owner, other = owner[order], other[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])) if len(owner) else order
+        sums = np.diff(np.append(first, len(owner))) if counts is None else np.add.reduceat(counts[order], first) if len(first) else counts
+        return owner[first], other[first], sums.astype(np.uint64)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            for side, owner, other, _ in rare_pairs(chunk, words()):
+            own = words()
+            numbers, pairs = pairs_of(chunk, own)
+            keys, counts = counted_keys(pairs[(numbers != own.unknown) & (pairs >> np.uint64(SHIFT) != own.unknown)])
+            buckets = own.buckets(keys, n)
+            order = bucketed(buckets, n)
+            keys, counts = keys[order], counts[order]
+            out: list[tuple] = [(b, -1, squeeze_sorted(keys[s]), None, squeeze(counts[s])) for b, s in _cut(buckets[order], n)]
+            for side, owner, other, _ in rare_pairs(chunk, own, numbers, pairs):
                 owner, other, counts = distinct(owner, other, None)
                 buckets = (owner % np.uint64(n)).astype(np.int64)
-                order = np.argsort(buckets, kind="stable")
+                order = bucketed(buckets, n)
                 owner, other, counts = owner[order], other[order], counts[order]
-                out = [(b, side, squeeze_sorted(owner[s]), squeeze(other[s]), squeeze(counts[s])) for b, s in _cut(buckets[order], n)]
-                if out:
-                    yield batch_of(out, RARE_SCHEMA)
+                out += [(b, side, squeeze_sorted(owner[s]), squeeze(other[s]), squeeze(counts[s])) for b, s in _cut(buckets[order], n)]
+            if out:
+                yield batch_of(out, PAIRS_SCHEMA)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
+
+        def merged(side: int, own: list) -> tuple:
+            columns = tuple(map(np.concatenate, zip(*own, strict=True)))
+            return counted_keys(*columns) if side < 0 else distinct(*columns)
+
         for batch in batches:
             for b, side, owner, other, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 own = held.setdefault((b, side), [])
-                own.append((expand_sorted(owner), expand(other), expand(c)))
+                own.append((expand_sorted(owner), expand(c)) if side < 0 else (expand_sorted(owner), expand(other), expand(c)))
                 if sum(len(x[0]) for x in own[1:]) > 4_000_000:
-                    own[:] = [distinct(*map(np.concatenate, zip(*own, strict=True)))]
-        for (b, side), own in held.items():
-            owner, other, counts = distinct(*map(np.concatenate, zip(*own, strict=True)))
-            new = counts if side == 0 else counts[is_number(other)]
-            of_counts = np.bincount(np.minimum(new, DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-            yield batch_of([(b, side, squeeze_sorted(owner), squeeze(other), squeeze(counts), of_counts.tolist())], RARE_SCHEMA.append(pa.field("of_counts", pa.list_(pa.int64()))))
+                    own[:] = [merged(side, own)]
+        while held:
+            (b, side), own = held.popitem()
+            owner, *other, counts = merged(side, own)
+            new = counts[is_number(other[0])] if side == 1 else counts
+            yield batch_of([(b, side, squeeze_sorted(owner), *(map(squeeze, other) if other else [None]), squeeze(counts), of_counts(new))], PAIRS_SCHEMA.append(pa.field("of_counts", pa.list_(pa.int64()))))
 
-    return docs.mapInArrow(parts, RARE).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{RARE}, of_counts array<long>")
+    return docs.mapInArrow(parts, PAIRS).repartitionById(n, F.col("bucket")).mapInArrow(merge, f"{PAIRS}, of_counts array<long>")
 
 
 def backoff(seen: np.ndarray, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,28 +369,24 @@ def discounts(of_counts: list[int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Tables (unigrams of UNKNOWN and pairs, below `path`) and the arrays of the model's words."""
+    """Tables below `path` (unigrams, pairs, histories) and the arrays of the frequent tokens."""
 
     path: str
     buckets: int
     tokens: int
     distinct: int
     hashes: np.ndarray
-    counts: np.ndarray  # of words, then of UNKNOWN and of the start
-    unknown_distinct: int
+    counts: np.ndarray  # of frequent tokens, then of all others and of the start
     d: np.ndarray
     below: np.ndarray  # c'(h)
     alpha: np.ndarray
-    whole: bool = False  # every token is a word: also tables of pairs with rare tokens and of rare histories
 
     def words(self) -> Words:
         return Words(self.hashes, self.counts[: len(self.hashes)], self.tokens / (4 * self.buckets) + 1)
 
     def unigram(self) -> np.ndarray:
-        """P(w) of words and of UNKNOWN."""
-        out = self.counts[:-1] / (self.tokens + 1)
-        out[-1] += 1 / (self.tokens + 1)
-        return out
+        """P(w) of frequent tokens (and a number in the place of the others)."""
+        return self.counts[:-1] / (self.tokens + 1)
 
 
 def _held(make: Callable[[], Words]) -> Callable[[], Words]:
@@ -368,37 +394,24 @@ def _held(make: Callable[[], Words]) -> Callable[[], Words]:
     return lambda: common.worker_state(("words", token), make)
 
 
-def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent: int = VOCABULARY, buckets: int | None = None) -> Model:
-    """Learns from all of docs (doc_id, text); tables are written below path. Without a vocabulary every token is a word; `frequent` of them are broadcast. Tables have a bucket for each BUCKET_BYTES of text, or `buckets`."""
+def train(docs: DataFrame, path: str, *, frequent: int = FREQUENT, buckets: int | None = None) -> Model:
+    """Learns from all of docs (doc_id, text); tables are written below path, with a bucket for each BUCKET_BYTES of text, or `buckets`. `frequent` tokens are broadcast."""
     spark = docs.sparkSession
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets or max(12, math.ceil(size / BUCKET_BYTES))
-    counted(own, lambda c: ((c.hashes % np.uint64(buckets)).astype(np.int64), c.hashes), buckets).write.parquet(f"{path}/unigrams")
+    ends, size = own.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = buckets or max(12, math.ceil((size or 0) / BUCKET_BYTES))
+    counted(own, buckets).write.parquet(f"{path}/unigrams")
     unigrams = spark.read.parquet(f"{path}/unigrams")
     tokens, distinct = (int(x or 0) for x in unigrams.agg(F.sum("tokens"), F.sum("size")).first())
-    top = _frequent(unigrams, min(frequent, (1 << SHIFT) - 2) if vocabulary is None else vocabulary)
+    top = _frequent(unigrams, min(frequent, (1 << SHIFT) - 2))
     hashes, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
-    whole = vocabulary is None
-    ends = own.count()
-    model = Model(path, buckets, tokens, distinct, hashes, np.concatenate([counts, [tokens - counts.sum(), ends]]), distinct - len(hashes), np.ones(1), np.ones(1), np.ones(1), whole)
+    model = Model(path, buckets, tokens, distinct, hashes, np.concatenate([counts, [tokens - counts.sum(), ends]]), np.ones(1), np.ones(1), np.ones(1))
     sent = spark.sparkContext.broadcast((hashes, counts, tokens / (4 * buckets) + 1))
     words = _held(lambda: Words(*sent.value))
-
-    def keyed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        numbers, pairs = pairs_of(chunk, words())
-        if whole:
-            pairs = pairs[(numbers != words().unknown) & (pairs >> np.uint64(SHIFT) != words().unknown)]
-        return words().buckets(pairs, buckets), pairs
-
-    counted(own, keyed, buckets).write.parquet(f"{path}/pairs")
-    pairs = spark.read.parquet(f"{path}/pairs")
-    counts_of = pairs.select("of_counts")
-    if whole:
-        counted_rare(own, words, buckets).write.parquet(f"{path}/rare")
-        counts_of = counts_of.unionByName(spark.read.parquet(f"{path}/rare").select("of_counts"))
-    of_counts = counts_of.select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()
-    model.d = discounts([r[1] for r in of_counts] or [0] * (DISCOUNTED + 1))
+    counted_pairs(own, words, buckets).write.partitionBy("side").parquet(f"{path}/pairs")
+    pairs = _pairs(spark, path)
+    counts_of = pairs.select(F.posexplode("of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()
+    model.d = discounts([r[1] for r in counts_of] or [0] * (DISCOUNTED + 1))
     d, unigram = model.d, model.unigram()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,13 +419,12 @@ def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys, counts = expand_sorted(k), expand(c)
                 h, w = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << SHIFT) - 1)).astype(np.int64)
-                own, inverse = np.unique(h, return_inverse=True)
+                first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else h == 0  # keys are sorted by h
+                own, inverse = h[first], np.cumsum(first) - 1
                 discounted = np.bincount(inverse, d[np.minimum(counts, DISCOUNTED + 1).astype(np.int64)] * counts)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(discounted), pa.array(np.bincount(inverse, unigram[w]))], names=["h", "s", "p"])
 
-    parts = pairs.select("keys", "counts").mapInArrow(sums, "h long, s double, p double")
-    if whole:
-        parts = parts.unionByName(_rare_histories(model, spark))
+    parts = pairs.where("side < 0").select("owner", "counts").mapInArrow(sums, "h long, s double, p double").unionByName(_rare_histories(model, spark))
     seen = parts.groupBy("h").agg(F.sum("s"), F.sum("p")).collect()  # a row for each frequent token at most
     model.below, model.alpha = model.counts.astype(np.float64), np.ones(len(model.counts))
     if seen:
@@ -421,10 +433,14 @@ def train(docs: DataFrame, path: str, *, vocabulary: int | None = None, frequent
     return model
 
 
+def _pairs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{PAIRS}, of_counts array<long>").parquet(f"{path}/pairs")
+
+
 def _rare_histories(model: Model, spark: SparkSession) -> DataFrame:
     """Writes the table of rare histories: bucket, keys (sorted hashes), below, alpha. Returns h, s, p that rare words add to frequent histories."""
     n, d, tokens, path, unigram = model.buckets, model.d, model.tokens, model.path, spark.sparkContext.broadcast(model.unigram())
-    rare = spark.read.parquet(f"{path}/rare").select("bucket", F.col("side").alias("role"), "owner", "other", "counts")
+    rare = _pairs(spark, path).where("side >= 0").select("bucket", F.col("side").alias("role"), "owner", "other", "counts")
     unigrams = spark.read.parquet(f"{path}/unigrams").select("bucket", F.lit(-1).alias("role"), F.col("keys").alias("owner"), F.lit(None).cast("binary").alias("other"), "counts")
 
     def sums_by(h: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -497,7 +513,7 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
     names = [x.split()[0] for x in layout.split(", ")[:7]] + ["heads", "n_tokens", "n_known", "base"]
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Role 2 and 3: keys of a chunk's pairs and unknown tokens, how often each occurs, and in which documents. Role 4: what the chunk knows itself.
+        """Role 2: keys of a chunk's pairs of frequent tokens, how often each occurs, and in which documents. Role 4: what the chunk knows itself.
         Role 6 and 7: pairs with a rare w and a rare h, the rare token's hash as the key and the other token in n_tokens."""
         from pyspark import TaskContext
 
@@ -505,17 +521,12 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
             name = TaskContext.get().partitionId() << 24 | k
             numbers, pairs = pairs_of(chunk, words())
             out = []
-            rare = numbers == words().unknown
-            if whole:
-                both = np.flatnonzero(~rare & (pairs >> np.uint64(SHIFT) != words().unknown))
-                asked_of = [(2, pairs[both], None, chunk.docs[both], words().buckets(pairs[both], n))]
-                asked_of += [(6 + side, owner, other, chunk.docs[at], (owner % np.uint64(n)).astype(np.int64)) for side, owner, other, at in rare_pairs(chunk, words())]
-            else:
-                of_rare = chunk.hashes[rare]
-                asked_of = [(2, pairs, None, chunk.docs, words().buckets(pairs, n)), (3, of_rare, None, chunk.docs[rare], (of_rare % np.uint64(n)).astype(np.int64))]
+            both = np.flatnonzero((numbers != words().unknown) & (pairs >> np.uint64(SHIFT) != words().unknown))
+            asked_of = [(2, pairs[both], None, chunk.docs[both], words().buckets(pairs[both], n))]
+            asked_of += [(6 + side, owner, other, chunk.docs[at], (owner % np.uint64(n)).astype(np.int64)) for side, owner, other, at in rare_pairs(chunk, words(), numbers, pairs)]
             for role, keys, other, docs_of, buckets in asked_of:
-                order = np.argsort(keys, kind="stable") if other is None else np.lexsort((other, keys))
-                order = order[np.argsort(buckets[order].astype(np.uint16) if n < 65_536 else buckets[order], kind="stable")]
+                order = np.argsort(keys) if other is None else np.lexsort((other, keys))
+                order = order[bucketed(buckets[order], n)]
                 keys, docs_of, buckets = keys[order], docs_of[order].astype("<u2"), buckets[order]
                 other = None if other is None else other[order]
                 for b, s in _cut(buckets, n):
@@ -526,7 +537,7 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                     others = None if other is None else squeeze(other[s][new])
                     out.append((b, role, name, squeeze_sorted(keys[s][new]), squeeze(np.diff(np.append(new, s.stop - s.start))), zstandard.compress(docs_of[s].tobytes(), 1), len(chunk.sizes), None, others, None, None))
             known = np.append(np.log10(sent.value[1][: words().size] + 1.0), 0.0)[numbers]
-            own = [np.bincount(chunk.docs, w, len(chunk.sizes)).tobytes() for w in (~rare, known)]
+            own = [np.bincount(chunk.docs, w, len(chunk.sizes)).tobytes() for w in (numbers != words().unknown, known)]
             heads = pa.concat_arrays(chunk.rows)
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(heads.type), pa.binary(), pa.binary(), pa.binary()]
             if out:
@@ -537,7 +548,7 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition come by bucket and role: tables first. Role 5: sums for a chunk's documents: log P, then log(c + 1) and known, of unknown tokens."""
+        """Rows of a partition come by bucket and role: tables first. Role 5: sums for a chunk's documents: log P, then log(c + 1) and known, of rare tokens."""
         d, below, alpha, unigram = sent.value[3:]
         nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         tables: dict[int, tuple[np.ndarray, ...]] = {}
@@ -590,14 +601,11 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                 if role >= 6:
                     logs = rare_log(role - 6, keys, expand(batch.column(8)[i].as_py()))
                     sums = [None if x is None else sparse_sums(owners, np.repeat(x, counts)) for x in logs]
-                elif role == 2:
+                else:
                     found = met_by(0, keys)
                     h, w = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << SHIFT) - 1)).astype(np.int64)
                     p = np.where(found > 0, d[np.minimum(found, DISCOUNTED + 1)] * found / np.maximum(below[h], 1e-300), alpha[h] * unigram[w])
                     sums = [sparse_sums(owners, np.repeat(np.log10(p), counts)), None, None]
-                else:
-                    found = met_by(1, keys)
-                    sums = [None, *(sparse_sums(owners, np.repeat(x, counts)) for x in (np.log10(found + 1.0), found > 0))]
                 row = [at_bucket, 5, name, None, None, None, n_docs, None, *sums]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, batch.schema.types, strict=True)], schema=batch.schema)
 
@@ -613,21 +621,18 @@ def score(docs: DataFrame, model: Model, passed: str | None = None) -> DataFrame
                         add_sums(x, sums[j])
         n_tokens = np.frombuffer(rows.column("n_tokens")[k].as_py(), "<i8")
         known, base = (np.frombuffer(rows.column(c)[k].as_py()) for c in ("n_known", "base"))
-        rare = n_tokens - known
         base_score = base + sums[1] - n_tokens * math.log10(model_tokens + model_distinct + 1)
-        full = sums[0] if whole else sums[0] + sums[1] - rare * math.log10(unknown_slots)
         heads = rows.column("heads").combine_chunks()[k].values
-        return pa.table([heads, pa.array(n_tokens), pa.array(np.rint(known + sums[2]).astype(np.int64)), pa.array(base_score), pa.array(full)], names=["head", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([heads, pa.array(n_tokens), pa.array(np.rint(known + sums[2]).astype(np.int64)), pa.array(base_score), pa.array(sums[0])], names=["head", "n_tokens", "n_known", "base_score", "score"])
 
-    whole, model_tokens, model_distinct, unknown_slots = model.whole, model.tokens, model.distinct, int(model.counts[-2]) + model.unknown_distinct + 1
+    model_tokens, model_distinct = model.tokens, model.distinct
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "binary"), ("n_docs", "int"), ("heads", f"array<{kind}>"), ("n_tokens", "binary"), ("n_known", "binary"), ("base", "binary"))]
-    table = lambda kind, role: spark.read.parquet(f"{model.path}/{kind}").select("bucket", F.lit(role).alias("role"), F.lit(-1).cast("long").alias("chunk"), "keys", "counts", *empty)
+    row = lambda role, keys, counts, other: ("bucket", role.alias("role"), F.lit(-1).cast("long").alias("chunk"), F.col(keys).alias("keys"), F.col(counts).alias("counts"), *empty[:3], other.alias("n_tokens"), *empty[4:])
+    nothing = F.lit(None).cast("binary")
+    kept = _pairs(spark, model.path).select(*row(F.when(F.col("side") < 0, 0).otherwise(F.col("side") - 2), "owner", "counts", F.col("other")))
+    kept = kept.unionByName(spark.read.parquet(f"{model.path}/unigrams").select(*row(F.lit(1), "keys", "counts", nothing)))
+    kept = kept.unionByName(spark.read.parquet(f"{model.path}/histories").select(*row(F.lit(-3), "keys", "below", F.col("alpha"))))
     asked = own.mapInArrow(requests, layout)
-    kept = table("pairs", 0).unionByName(table("unigrams", 1))
-    if whole:
-        sides, histories = spark.read.parquet(f"{model.path}/rare"), spark.read.parquet(f"{model.path}/histories")
-        kept = kept.unionByName(sides.select("bucket", (F.col("side") - 2).alias("role"), F.lit(-1).cast("long").alias("chunk"), F.col("owner").alias("keys"), "counts", *empty[:3], F.col("other").alias("n_tokens"), *empty[4:]))
-        kept = kept.unionByName(histories.select("bucket", F.lit(-3).alias("role"), F.lit(-1).cast("long").alias("chunk"), "keys", F.col("below").alias("counts"), *empty[:3], F.col("alpha").alias("n_tokens"), *empty[4:]))
     met = kept.unionByName(asked).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "role")
     rows = met.mapInArrow(answers, layout).groupBy("chunk").applyInArrow(combine, f"head {kind}, n_tokens long, n_known long, base_score double, score double")
     return rows.select("head.*", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

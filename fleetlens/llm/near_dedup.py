@@ -37,14 +37,8 @@ from fleetlens.llm.components import connected
 BANDS, ROWS = 40, 5
 #: Members of a pivot that one task takes; the rows of a pivot of more go to several, each with a copy of what the pivot has.
 MEMBERS = 1000
-#: Odd multipliers of the mixing steps (fixed values of splitmix64), and the step between rounds.
-MIX_A, MIX_B, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX_A
-    x = (x ^ (x >> np.uint64(27))) * MIX_B
-    return x ^ (x >> np.uint64(31))
+STEP = np.uint64(0x9E3779B97F4A7C15)
+mix = common.spread
 
 
 def shingle_set(data: bytes | None, k: int) -> np.ndarray:
@@ -57,7 +51,7 @@ def shingle_set(data: bytes | None, k: int) -> np.ndarray:
     out = np.full(n, size, np.uint64)
     for i in range(size):
         out = mix(out * STEP + own[i : i + n])
-    return np.unique(out)
+    return common.distinct(out)
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:

@@ -11,6 +11,7 @@ import base64
 import re
 from array import array
 from collections.abc import Callable
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,7 @@ class PieceCache(dict):
         return self.extra[piece]
 
     def fill(self, cut: list[list[str]]) -> None:
-        new = list(set().union(*cut).difference(self))
+        new = list(set(filterfalse(self.__contains__, chain.from_iterable(cut))))
         found = dict(zip(new, map(self.value, self.encode_many(new)), strict=True)) if new else {}
         self.extra = {}
         if len(self) + len(found) <= self.most:

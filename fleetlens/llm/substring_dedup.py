@@ -102,7 +102,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for doc, text, spans in zip(batch.column(0), common.byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 own = common.word_hashes(text)
-                at = np.unique(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans]))
+                at = common.distinct(np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans]))
                 at = at[at + window <= len(own)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(rolling(own, b, at, at + window).view(np.int64)) for b in BASES), pa.repeat(doc, len(at)), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
 
@@ -114,15 +114,15 @@ def removals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> Data
     own = common.renamed_apart(docs, ["doc_id", "text"])
     found = common.checkpointed(_segments(own, window, gram))
     shared = found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high").select("fp", "rows")
-    kept = common.checkpointed(common.met(found, shared, ["fp"], "rows"))
+    kept = common.checkpointed(common.met(found, shared, ["fp"], "rows", few=False))
     firsts = common.checkpointed(kept.groupBy("fp", "seg").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
-    later = common.met(kept, firsts.where("rows > 1"), ["fp", "seg"], "rows").where("doc_id > first").select("doc_id", "start", "n")
+    later = common.met(kept, firsts.where("rows > 1"), ["fp", "seg"], "rows", few=False).where("doc_id > first").select("doc_id", "start", "n")
     several = firsts.groupBy("fp").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.count("*").alias("rows")).where("a < b").select("fp", "rows")
-    open_segments = common.met(firsts.drop("rows"), several, ["fp"], "rows").withColumnRenamed("first", "doc_id").join(kept, ["fp", "seg", "doc_id"])
+    open_segments = common.met(firsts.drop("rows"), several, ["fp"], "rows", few=False).withColumnRenamed("first", "doc_id").join(kept, ["fp", "seg", "doc_id"])
     spans = common.checkpointed(open_segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
     windows = common.checkpointed(_windows(common.semi(own, spans.select("doc_id"), "doc_id").join(spans, "doc_id"), window))
     least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).where("first < last").drop("last")
-    single = common.met(windows, least, ["h1", "h2"], "rows").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
+    single = common.met(windows, least, ["h1", "h2"], "rows", few=False).where("doc_id > first").select("doc_id", "start", F.lit(1).alias("n"))
     return later.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

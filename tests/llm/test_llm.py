@@ -291,12 +291,12 @@ def test_line_dedup_random(spark):
     assert {(r.doc_id, p) for r in line_dedup.removed_lines(df, min_chars=2).collect() for p in r.gone} == expected
 
 
-@pytest.mark.parametrize("most", [0, 1, 3])
-def test_met_splits_common_keys(spark, most):
+@pytest.mark.parametrize("options", [{}, {"few": False}, {"few": False, "hot_rows": 100}, {"most": 3, "hot_rows": 1}])
+def test_met_splits_common_keys(spark, options):
     """However few keys are broadcast, the join is whole."""
     df = spark.range(500).select((F.col("id") % F.when(F.col("id") < 300, 2).otherwise(40)).alias("k"), "id")
     keys = df.where("k <> 3").groupBy("k").count()
-    got = common.met(df, keys, ["k"], "count", most=most or 100)
+    got = common.met(df, keys, ["k"], "count", **options)
     assert got.columns == ["k", "id"] and sorted(r.id for r in got.collect()) == sorted(r.id for r in df.where("k <> 3").collect())
 
 
@@ -430,6 +430,19 @@ def test_near_cases(odd):
     assert near_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_word_hashes():
+    """One hash a word, wherever it stands and however long it is; other words have others."""
+    rng, seen, other = random.Random(8), {}, {}
+    made = [b" " * 9, b"a", b"x" * (1 << 19), b"y" * ((1 << 19) + 1) + b" b", b"\t".join([b"z" * 300_000] * 5), " é 日本\x1c ".encode()]
+    made += [b" ".join(bytes(rng.choice(b"ab\n\xc3") for _ in range(rng.randrange(5))) for _ in range(200_000))]
+    for text in [*made, b" ".join(made), b"q" * 7 + b" " + b"x" * (1 << 19) + b" a"]:
+        got, own = common.word_hashes(text).tolist(), text.split()
+        assert len(got) == len(own)
+        for w, h in zip(own, got):
+            assert seen.setdefault(w, h) == h and other.setdefault(h, w) == w
+    assert not len(common.word_hashes(None)) and not len(common.word_hashes(b""))
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))
@@ -449,50 +462,8 @@ def test_components(spark):
 # 6
 
 
-@pytest.mark.parametrize("words", [katz_lm.VOCABULARY, 300])
-def test_katz(spark, docs, texts, tmp_path, words):
-    trained = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
-    tokens = {d: [*lower(t).encode().split(), b"\n"] for d, t in texts.items()}
-    c = Counter(w for d, own in tokens.items() if trained(d) for w in own)
-    total, distinct = sum(c.values()), len(c)
-    signed = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
-    top = set(sorted(c, key=lambda w: (-c[w], signed(w)))[:words])
-    name = lambda w: w if w in top else "?"
-    pairs = Counter()
-    for d, own in tokens.items():
-        if trained(d):
-            pairs.update(zip(["^", *map(name, own[:-1])], map(name, own)))
-    unknown, kinds = sum(n for w, n in c.items() if w not in top), sum(w not in top for w in c)
-    discount = katz_lm.discounts([sum(v == r for v in pairs.values()) for r in range(1, 7)])
-    p = lambda w: (unknown + 1) / (total + 1) if w == "?" else c[w] / (total + 1)
-    count, s, seen = Counter(), Counter(), Counter()
-    for (h, w), v in pairs.items():
-        count[h] += v
-        s[h] += discount[min(v, 6)] * v
-        seen[h] += p(w)
-    below, alpha = {}, {}
-    for h in count:
-        full = 1 - seen[h] <= 1e-12
-        below[h] = s[h] if full else count[h] + (s[h] >= count[h] - 1e-9)
-        alpha[h] = 1.0 if full else (1 - s[h] / below[h]) / (1 - seen[h])
-    for h in list(count)[:20]:
-        assert sum(discount[min(pairs[h, w], 6)] * pairs[h, w] / below[h] if pairs[h, w] else alpha[h] * p(w) for w in [*top, "?"]) == pytest.approx(1)
-    marked = docs.select("doc_id", "text", (language_id.remainder(7) == 2).alias("held_out"))
-    model = katz_lm.train(marked.where("NOT held_out"), str(tmp_path / "m"), vocabulary=words)
-    for r in katz_lm.score(marked, model, "held_out").collect():
-        own, score, before = tokens[r.doc_id], 0.0, "^"
-        for w in own:
-            k = name(w)
-            v = pairs[before, k]
-            score += math.log10(discount[min(v, 6)] * v / below[before] if v else alpha.get(before, 1.0) * p(k))
-            score += math.log10((c[w] + 1) / (unknown + kinds + 1)) if k == "?" else 0.0
-            before = k
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not trained(r.doc_id), len(own), sum(c[w] > 0 for w in own), total)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in own)) and r.score == pytest.approx(score)
-
-
-@pytest.mark.parametrize(("frequent", "buckets"), [(katz_lm.VOCABULARY, None), (300, 64), (1, 500)])
-def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent, buckets):
+@pytest.mark.parametrize(("frequent", "buckets"), [(katz_lm.FREQUENT, None), (300, 64), (1, 500)])
+def test_katz(spark, docs, texts, tmp_path, frequent, buckets):
     """Every training token is a word, however few are broadcast and however many buckets there are."""
     trained = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
     tokens = {d: [*lower(t).encode().split(), b"\n"] for d, t in texts.items()}
@@ -510,6 +481,8 @@ def test_katz_whole_vocabulary(spark, docs, texts, tmp_path, frequent, buckets):
     below = {h: count[h] + (s[h] >= count[h] - 1e-9) for h in count}
     alpha = {h: (1 - s[h] / below[h]) / (1 - seen[h]) for h in count}
     p = lambda h, w: discount[min(pairs[h, w], 6)] * pairs[h, w] / below[h] if pairs[h, w] else alpha.get(h, 1.0) * max(c[w], 1) / (total + 1)
+    for h in [*count][:20]:  # a slot is left for tokens never seen
+        assert sum(p(h, w) for w in c) + alpha[h] / (total + 1) == pytest.approx(1)
     marked = docs.select("doc_id", "text", (language_id.remainder(7) == 2).alias("held_out"))
     model = katz_lm.train(marked.where("NOT held_out"), str(tmp_path / "m"), frequent=frequent, buckets=buckets)
     for r in katz_lm.score(marked, model, "held_out").collect():
