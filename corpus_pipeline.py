@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import byte_bpe, common, decontaminate, language_id, line_dedup, near_dedup
+from fleetlens.operators.durable import deleted
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's result. Each stage's table goes once the next one is written; the last stays, as the result reads it."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         target = f"{common.checkpoint_path(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(target)
-        docs = spark.read.parquet(target)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(target), target
     return STAGES[-1][1](spark, docs, sf_dir)
