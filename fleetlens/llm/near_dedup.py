@@ -149,13 +149,14 @@ def pivoted(pairs: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) ->
     return beside(pairs.join(right, "x"), left.join(pairs.select("p").distinct(), "p"), hot).select("p", "x", "set_p", "set_x").mapInArrow(run, f"p {kind}, x {kind}, room long, weight long, diff binary")
 
 
-def common_elements(members: DataFrame, some: int = 64, most: int = 512) -> DataFrame:
+def common_elements(members: DataFrame, hot: DataFrame, some: int = 64, most: int = 512) -> DataFrame:
     """p and, rarest first, the elements that the difference sets of its members often have, for pivots of many members.
 
     They are told from `some` members of each pivot, and the `most` most frequent ones are kept: this only decides an order, in which
     prefixes take rare elements first; any order gives all links."""
     kind = common.type_of(members, "p")
-    few = members.select("p", "x", "diff").withColumn("rank", F.row_number().over(W.partitionBy("p").orderBy(F.xxhash64("x"), "x"))).where(F.col("rank") <= some)
+    dealt = members.select("p", "x", "diff").join(hot, "p", "left").where("ways IS NULL OR pmod(xxhash64(x), ways) = 0").drop("ways")  # of a hot pivot, one way's members
+    few = dealt.withColumn("rank", F.row_number().over(W.partitionBy("p").orderBy(F.xxhash64("x"), "x"))).where(F.col("rank") <= some)
     lists = few.groupBy("p").agg(F.collect_list("diff").alias("diffs")).where(F.size("diffs") >= 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def prefixes(members: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         types = [*(like.column(i).type for i in range(3)), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["p", "x", "component", "kind", "element", "rest", "weight", "room"])
 
-    ordered = beside(members, common_elements(members), hot, "left").select("p", "x", "component", "room", "weight", "diff", "common")
+    ordered = beside(members, common_elements(members, hot), hot, "left").select("p", "x", "component", "room", "weight", "diff", "common")
     return ordered.mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long, rest int, weight long, room long")
 
 
