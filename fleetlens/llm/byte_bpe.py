@@ -44,9 +44,8 @@ def _coder(path: str) -> pieces.ByteLevel:
 def _encoded(path: str, column: pa.Array) -> Iterator[tuple[list[bytes], list[bytes]]]:
     """Texts and their ids as bytes, slice by slice."""
     coder = _coder(path)
-    texts = [x or b"" for x in common.byte_texts(column)]
-    for part in common.sliced([len(x) for x in texts]):
-        own = texts[part.start : part.stop]
+    for _, texts in common.text_slices(column):
+        own = [x or b"" for x in texts]
         yield own, coder.encode([x.decode("utf-8", errors="replace") for x in own])
 
 
@@ -71,7 +70,7 @@ def encode(docs: DataFrame, *, path: str | None = None, text_column: str = "text
                 yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, "token_ids", "char_starts", "char_ends"][: own.num_columns + len(columns)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, {added}")
+    return base.mapInArrow(common.freed(run), f"{schema}, {added}")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -92,7 +91,7 @@ def decode(coded: DataFrame, *, path: str | None = None, ids_column: str = "toke
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary()), pa.array([x.decode("utf-8", errors="replace") for x in data], pa.string())], names=[*batch.schema.names, "decoded", "decoded_text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, decoded binary, decoded_text string")
+    return base.mapInArrow(common.freed(run), f"{schema}, decoded binary, decoded_text string")
 
 
 def digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
@@ -111,7 +110,7 @@ def digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return own.mapInArrow(common.freed(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when its task ends, too."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return own
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     give_back()
     return column.cast(pa.binary()).to_pylist()
@@ -80,6 +92,14 @@ def sliced(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[range]:
         yield range(start, len(sizes))
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[range, list[bytes | None]]]:
+    """Ranges of rows, and their texts; of a batch, only one range's texts are Python objects at a time."""
+    import pyarrow.compute as pc
+
+    for rows in sliced(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist()):
+        yield rows, byte_texts(column.slice(rows.start, len(rows)))
+
+
 #: The contract's word patterns. Words of the first are cut by white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -162,7 +162,7 @@ def _met(docs: DataFrame, block: list[tuple[str, bytes | None]], window: int, hi
             yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
     own = "digest binary" if hits_only else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{own}, {MATCHES}"), sent.destroy
+    return docs.mapInArrow(common.freed(run), f"{own}, {MATCHES}"), sent.destroy
 
 
 def n_hit() -> Column:

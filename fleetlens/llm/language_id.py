@@ -103,7 +103,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, bytes]], *, level: int = L
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return base.mapInArrow(common.freed(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def remainder(modulus: int) -> Column:

@@ -88,15 +88,14 @@ def profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.byte_texts(batch.column(1))
-            for part in common.sliced([len(x or b"") for x in texts]):
-                sets = [shingle_set(texts[i], k) for i in part]
+            for part, texts in common.text_slices(batch.column(1)):
+                sets = [shingle_set(x, k) for x in texts]
                 keys = band_keys(sketches(sets, bands * rows), bands, rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 hashes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), lists], names=["doc_id", "n_shingles", "set_hash", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {common.type_of(docs, 'doc_id')}, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInArrow(common.freed(run), f"doc_id {common.type_of(docs, 'doc_id')}, n_shingles long, set_hash binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -104,10 +103,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in (shingle_set(x, k) for x in common.byte_texts(batch.column(1))) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            for _, texts in common.text_slices(batch.column(1)):
+                sets = [s.tobytes() for s in (shingle_set(x, k) for x in texts) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node binary, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(common.freed(run), "node binary, shingles binary")
 
 
 def _of_one_document(usable: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def pivoted(pairs: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) ->
                 diffs.append(np.concatenate([added, removed]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rooms, pa.int64()), pa.array(weights, pa.int64()), pa.array(diffs, pa.binary())], names=["p", "x", "room", "weight", "diff"])
 
-    return beside(pairs.join(right, "x"), left.join(pairs.select("p").distinct(), "p"), hot).select("p", "x", "set_p", "set_x").mapInArrow(run, f"p {kind}, x {kind}, room long, weight long, diff binary")
+    return beside(pairs.join(right, "x"), left.join(pairs.select("p").distinct(), "p"), hot).select("p", "x", "set_p", "set_x").mapInArrow(common.freed(run), f"p {kind}, x {kind}, room long, weight long, diff binary")
 
 
 def common_elements(members: DataFrame, hot: DataFrame, some: int = 64, most: int = 512) -> DataFrame:
@@ -168,7 +168,7 @@ def common_elements(members: DataFrame, hot: DataFrame, some: int = 64, most: in
                 ranked.append(elements[order[counts[order] > 1][-most:]].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranked, pa.binary())], names=["p", "common"])
 
-    return lists.mapInArrow(run, f"p {kind}, common binary")
+    return lists.mapInArrow(common.freed(run), f"p {kind}, common binary")
 
 
 def rare_first(own: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def prefixes(members: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["p", "x", "component", "kind", "element", "rest", "weight", "room"])
 
     ordered = beside(members, common_elements(members, hot), hot, "left").select("p", "x", "component", "room", "weight", "diff", "common")
-    return ordered.mapInArrow(run, f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long, rest int, weight long, room long")
+    return ordered.mapInArrow(common.freed(run), f"p {kind_of_id}, x {kind_of_id}, component {kind_of_id}, kind int, element long, rest int, weight long, room long")
 
 
 def confirmed(candidates: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -230,7 +230,7 @@ def confirmed(candidates: DataFrame, members: DataFrame, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = candidates.join(x, ["p", "x"]).join(y.drop("room"), ["p", "y"])
-    return joined.select(F.col("x").alias("a"), F.col("y").alias("b"), "room", "weight_x", "diff_x", "weight_y", "diff_y").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select(F.col("x").alias("a"), F.col("y").alias("b"), "room", "weight_x", "diff_x", "weight_y", "diff_y").mapInArrow(common.freed(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, members: int = MEMBERS) -> DataFrame:
@@ -262,11 +262,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     candidates = one.where("kind > 0").join(two.where("of_y < 2"), ["p", "element"]).where(fitting).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("p").alias("p"))  # any pivot's bound is exact
     more = common.checkpointed(confirmed(candidates, left, percent).unionByName(_of_one_document(usable)))
     last = connected(links.unionByName(more).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))) if not more.isEmpty() else first
-    grouped = nodes.select("node", "doc_id").join(last.withColumnRenamed("doc_id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    classes = common.met(grouped.select("node", "component"), least.where("n > 1"), ["component"], "n").select(F.col("node").alias("set_hash"), "component_id")
-    alone = grouped.join(least.where("n = 1").select("component", "component_id"), "component").select(F.col("node").alias("set_hash"), "component_id")
-    labelled = seen.select("doc_id", "n_shingles", "set_hash").join(classes.unionByName(alone), "set_hash", "left")
+    linked = last.withColumnRenamed("doc_id", "node").join(nodes.select("node", "doc_id"), "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    in_classes = common.met(linked.select("node", "component"), least, ["component"], "n").select("node", "component_id")
+    classes = nodes.select("node", "doc_id").join(in_classes, "node", "left").select(F.col("node").alias("set_hash"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labelled = seen.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_hash")
 

@@ -81,17 +81,16 @@ def _segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.byte_texts(batch.column(1))
-            for part in common.sliced([len(x or b"") for x in texts]):
+            for part, texts in common.text_slices(batch.column(1)):
                 found = []
-                for i in part:
-                    own = common.word_hashes(texts[i])
+                for i, text in zip(part, texts, strict=True):
+                    own = common.word_hashes(text)
                     starts, counts, prints = segments(own, window, gram)
                     found.append((np.full(len(starts), i), prints, rolling(own, BASES[1], starts, starts + counts + window - 1), starts, counts))
                 rows, prints, hashes, starts, counts = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows.astype(np.int64))), pa.array(prints.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))], names=["doc_id", "fp", "seg", "start", "n"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, f"doc_id {kind}, fp long, seg long, start int, n int")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(common.freed(run), f"doc_id {kind}, fp long, seg long, start int, n int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -106,7 +105,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 at = at[at + window <= len(own)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(rolling(own, b, at, at + window).view(np.int64)) for b in BASES), pa.repeat(doc, len(at)), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
 
-    return docs.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, start int")
+    return docs.mapInArrow(common.freed(run), f"h1 long, h2 long, doc_id {kind}, start int")
 
 
 def removals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -154,7 +153,7 @@ def digests(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_tex
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
 
     lists = common.checkpointed(removals(own, window=window, gram=gram))
-    return common.with_lists(own, lists, "doc_id", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return common.with_lists(own, lists, "doc_id", "spans").mapInArrow(common.freed(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,19 +99,20 @@ def token_counts(docs: DataFrame, *, path: str | None = None, limit: int = LIMIT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = common.worker_state(("count", path), lambda: pieces.WordEnd(path, by_count=True))
         for batch in batches:
-            data = [x or b"" for x in common.byte_texts(batch.column(1))]
+            sizes: list[int] = []
             counts: list[int] = []
             huge: list[bool] = []
-            for part in common.sliced([len(x) for x in data]):
-                texts = [x.decode("utf-8", errors="replace") for x in data[part.start : part.stop]]
+            for _, part in common.text_slices(batch.column(1)):
+                texts = [(x or b"").decode("utf-8", errors="replace") for x in part]
                 long = [len(x) > chunk_chars for x in texts]
                 short = iter(coder.count([x for x, own in zip(texts, long, strict=True) if not own]))
                 counts += [count_huge(coder, x, chunk_chars, overlap_chars) if own else next(short) for x, own in zip(texts, long, strict=True)]
+                sizes += [len(x or b"") for x in part]
                 huge += long
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(huge, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "spliced"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(huge, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "spliced"])
 
     own = common.renamed_apart(docs, ["doc_id", "text"])
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, spliced boolean")
+    return own.mapInArrow(common.freed(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, spliced boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,10 +106,9 @@ def write_files(docs: DataFrame, target: str, *, path: str | None = None, end_id
             return pa.RecordBatch.from_arrays(columns, names=["shard", "part", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
         for batch in batches:
-            texts = [x or b"" for x in common.byte_texts(batch.column(1))]
             first = 0  # of the rows of this batch in the open file
-            for rows in common.sliced([len(x) for x in texts]):
-                for i, x in zip(rows, coder.encode([texts[i].decode("utf-8", errors="replace") for i in rows]), strict=True):
+            for rows, texts in common.text_slices(batch.column(1)):
+                for i, x in zip(rows, coder.encode([(x or b"").decode("utf-8", errors="replace") for x in texts]), strict=True):
                     if held >= file_tokens:
                         ids.append(batch.column(0).slice(first, i - first))
                         yield file()
@@ -121,7 +120,7 @@ def write_files(docs: DataFrame, target: str, *, path: str | None = None, end_id
             yield file()
 
     n = shards or max(1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    files = ranged(own, n).mapInArrow(run, f"shard int, part int, n_tokens long, doc_ids array<{id_type}>, doc_tokens array<int>, payload binary")
+    files = ranged(own, n).mapInArrow(common.freed(run), f"shard int, part int, n_tokens long, doc_ids array<{id_type}>, doc_tokens array<int>, payload binary")
     files.write.option("compression", "none").parquet(target)
 
 
@@ -147,7 +146,7 @@ def read_files(spark: SparkSession, target: str, *, with_ids: bool = False) -> D
                 columns += [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "part", "doc_id", "local_start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    docs = files.select("shard", "part", "doc_ids", "doc_tokens", "payload").mapInArrow(run, f"shard int, part int, doc_id {id_type}, local_start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    docs = files.select("shard", "part", "doc_ids", "doc_tokens", "payload").mapInArrow(common.freed(run), f"shard int, part int, doc_id {id_type}, local_start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return docs.join(starts, ["shard", "part"]).select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
