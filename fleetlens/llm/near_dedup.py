@@ -238,8 +238,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     own = common.renamed_apart(docs, ["doc_id", "text"])
     seen = common.checkpointed(profiles(own, shingle, bands, rows))
     usable = seen.where("doc_id IS NOT NULL AND set_hash IS NOT NULL").withColumnRenamed("set_hash", "node")
-    nodes = usable.groupBy("node").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("node", "r.*")
-    places = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = common.checkpointed(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")))  # a set's keys are its own
+    nodes = keyed.select("node", "doc_id")
+    places = keyed.select("node", F.explode("keys").alias("key"))
     shared = places.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumn("n", F.col("members"))
     buckets = common.checkpointed(common.met(places, shared, ["key"], "n"))
     scores = buckets.groupBy("node").agg(F.sum("members").alias("score"))
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     pairs = common.checkpointed(common.met(buckets.select("key", "node"), pivots, ["key"], "n").where("node <> p").select("p", F.col("node").alias("x")).distinct())
     hot = hot_pivots(pairs, members)
     # One text of each set that a pair needs: that of its least document, or of any row where ids aren't unique.
-    wanted = common.checkpointed(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct().join(nodes.select("node", "doc_id"), "node"))
+    wanted = common.checkpointed(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct().join(nodes, "node"))
     texts = common.semi(own, wanted.select("doc_id").distinct(), "doc_id")
     sets = common.checkpointed(full_sets(texts, shingle).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     measured = common.checkpointed(pivoted(pairs, sets, hot, percent))
@@ -262,10 +263,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     candidates = one.where("kind > 0").join(two.where("of_y < 2"), ["p", "element"]).where(fitting).groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("p").alias("p"))  # any pivot's bound is exact
     more = common.checkpointed(confirmed(candidates, left, percent).unionByName(_of_one_document(usable)))
     last = connected(links.unionByName(more).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))) if not more.isEmpty() else first
-    linked = last.withColumnRenamed("doc_id", "node").join(nodes.select("node", "doc_id"), "node")
+    linked = last.withColumnRenamed("doc_id", "node").join(nodes, "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     in_classes = common.met(linked.select("node", "component"), least, ["component"], "n").select("node", "component_id")
-    classes = nodes.select("node", "doc_id").join(in_classes, "node", "left").select(F.col("node").alias("set_hash"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = nodes.join(in_classes, "node", "left").select(F.col("node").alias("set_hash"), F.coalesce("component_id", "doc_id").alias("component_id"))
     labelled = seen.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "set_hash")
