@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import checkpointed, met
 
+#: Edges of a partition, at least: few edges make few files.
+PART_EDGES = 20_000
 #: Edges beyond which a node of many edges isn't left to one task.
 MANY = 2_000_000
 
@@ -31,5 +33,6 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", *, most: int = MANY)
     while (seen := tuple(now.agg(mark).first()[0])) != before:
         before = seen
         many = seen[0] > most
-        now = checkpointed(_starred(_starred(now, smaller_only=False, many=many), smaller_only=True, many=many))
+        parts = max(1, -(-seen[0] // PART_EDGES))  # a star has no more edges than the graph, nodes aside
+        now = checkpointed(_starred(_starred(now.coalesce(parts), smaller_only=False, many=many).coalesce(parts), smaller_only=True, many=many).coalesce(parts))
     return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
