@@ -40,9 +40,11 @@ SIGMA = "Σ"
 
 
 def cuts_by_words(coder: pieces.WordEnd) -> bool:
-    """Whether the vocabulary cuts by WORD_PATTERN."""
-    rules = json.loads(coder.tokenizer.to_str())["pre_tokenizer"] or {}
-    return any(r.get("pattern") == {"Regex": WORD_PATTERN} for r in rules.get("pretokenizers", [rules]))
+    """Whether the vocabulary cuts by WORD_PATTERN; told once for a coder."""
+    if not hasattr(coder, "by_words"):
+        rules = json.loads(coder.tokenizer.to_str())["pre_tokenizer"] or {}
+        coder.by_words = any(r.get("pattern") == {"Regex": WORD_PATTERN} for r in rules.get("pretokenizers", [rules]))
+    return coder.by_words
 
 
 class _Chunk:
