@@ -11,7 +11,7 @@ import base64
 import re
 from array import array
 from collections.abc import Callable
-from itertools import chain, filterfalse
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -23,28 +23,39 @@ UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u20
 HIGH = re.compile("[\u0300-\U0010ffff]")
 #: ASCII punctuation without the apostrophe, which may begin a contraction, and without what special tokens have.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Words that are handed to the library as one text: more cost it more for each, and fewer, too.
+JOINED_WORDS = 200
 #: Pieces that a worker keeps; further ones are encoded for each slice anew.
 CACHE_PIECES = 600_000
 
 
 class PieceCache(dict):
-    """piece -> value(ids). fill() looks up all that is missing in one call of the library."""
+    """piece -> value(ids). look_up() finds all that is missing in one call of the library, after one look at each piece."""
 
-    def __init__(self, find: Callable, encode_many: Callable, value: Callable, most: int = CACHE_PIECES):
+    def __init__(self, encode_many: Callable, value: Callable, most: int = CACHE_PIECES):
         super().__init__()
-        self.find, self.encode_many, self.value, self.most, self.extra = find, encode_many, value, most, {}
+        self.encode_many, self.value, self.most, self.missed = encode_many, value, most, []
 
     def __missing__(self, piece):
-        return self.extra[piece]
-
-    def fill(self, cut: list[list[str]]) -> None:
-        new = list(set(filterfalse(self.__contains__, chain.from_iterable(cut))))
-        found = dict(zip(new, map(self.value, self.encode_many(new)), strict=True)) if new else {}
-        self.extra = {}
-        if len(self) + len(found) <= self.most:
-            self.update(found)
-        else:
-            self.extra = found
+        self.missed.append(piece)
+
+    def look_up(self, cut: list[list[str]]) -> list[list]:
+        """The values of each list's pieces."""
+        self.missed = []
+        rows = [list(map(self.__getitem__, c)) for c in cut]
+        missed, self.missed = self.missed, []
+        if missed:
+            new = list(set(missed))
+            found = dict(zip(new, map(self.value, self.encode_many(new)), strict=True))
+            values = map(found.__getitem__, missed)  # in the order of the gaps
+            for row in rows:
+                at = -1
+                for _ in range(row.count(None)):
+                    at = row.index(None, at + 1)
+                    row[at] = next(values)
+            if len(self) + len(found) <= self.most:
+                self.update(found)
+        return rows
 
 
 def bytes_to_characters() -> list[str]:
@@ -92,7 +103,7 @@ class ByteLevel:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.tokenizer.encode_special_tokens = True
         self.cut = re.compile(r"\s*\S+|\s+").findall
-        self.cache = PieceCache(self.cut, self.encode_many, lambda ids: ids.astype("<u4").tobytes(), CACHE_PIECES // 3)  # pieces with capitals and white space repeat less
+        self.cache = PieceCache(self.encode_many, lambda ids: ids.astype("<u4").tobytes(), CACHE_PIECES // 3)  # pieces with capitals and white space repeat less
 
     def encode_many(self, pieces: list[str]) -> list[np.ndarray]:
         """Pieces that begin with white space are encoded as one text and cut apart by their lengths in bytes; merges never cross them."""
@@ -113,9 +124,7 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [[] if UNSURE.search(x) else self.cut(x) for x in texts]
-        self.cache.fill(cut)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) if c or not x else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x, c in zip(texts, cut, strict=True)]
+        return [b"".join(c) if c or not x else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x, c in zip(texts, self.cache.look_up(cut), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -132,32 +141,33 @@ class WordEnd:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.by_count, self.cut = by_count, str.split
-        self.cache = PieceCache(self.cut, self.encode_many, lambda ids: ids)
+        self.cache = PieceCache(self.encode_many, lambda ids: ids)
 
     def values(self, encoded: list) -> list:
         return [len(e.ids) if self.by_count else array("I", e.ids).tobytes() for e in encoded]
 
     def encode_words(self, words: list[str]) -> dict:
         """Values of words of small letters, encoded as one text and cut apart where words end."""
-        out = {}
-        for first in range(0, len(words), 2000):
-            part = words[first : first + 2000]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            data = ids.tobytes()
-            for word, i, j in zip(part, [0, *stops[:-1]], stops, strict=True):
-                out[word] = j - i if self.by_count else data[4 * i : 4 * j]
-        return out
+        texts = [" ".join(words[first : first + JOINED_WORDS]) for first in range(0, len(words), JOINED_WORDS)]
+        data = b"".join(array("I", e.ids).tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False))
+        stops = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * (1 if self.by_count else 4)
+        if self.by_count:
+            return dict(zip(words, np.diff(stops, prepend=0).tolist(), strict=True))
+        stops = stops.tolist()
+        return dict(zip(words, (data[i:j] for i, j in zip([0, *stops][: len(stops)], stops, strict=True)), strict=True))
 
     def encode_many(self, pieces: list[str]) -> list:
         """Values of pieces. One of small letters with punctuation behind it is cut before that, as the pattern does: a run of such characters is a match."""
         bases = [p.rstrip(PUNCTUATION) for p in pieces]
         plain = [b.isalpha() and b.islower() and (b.isascii() or not HIGH.search(b)) for b in bases]
-        known = self.encode_words(list({b for b, x in zip(bases, plain, strict=True) if x and b not in self.cache}))
-        tails = list({p[len(b) :] for p, b, x in zip(pieces, bases, plain, strict=True) if x and len(p) > len(b)})
-        after = dict(zip(tails, self.values(self.tokenizer.encode_batch_fast(tails, add_special_tokens=False)), strict=True)) | {"": 0 if self.by_count else b""}
-        others = iter(self.values(self.tokenizer.encode_batch_fast([p for p, x in zip(pieces, plain, strict=True) if not x], add_special_tokens=False)))
-        return [(known[b] if b in known else self.cache[b]) + after[p[len(b) :]] if x else next(others) for p, b, x in zip(pieces, bases, plain, strict=True)]
+        words = list(set(compress(bases, plain)))
+        known = dict(zip(words, map(self.cache.get, words), strict=True))
+        known |= self.encode_words([b for b, x in known.items() if x is None])
+        tails = {p[len(b) :] for p, b in compress(zip(pieces, bases, strict=True), plain)} - {""}
+        after = dict(zip(tails, self.values(self.tokenizer.encode_batch_fast(list(tails), add_special_tokens=False)), strict=True)) | {"": 0 if self.by_count else b""}
+        rest = [p for p, x in zip(pieces, plain, strict=True) if not x]
+        others = iter(self.values(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return [(known[b] if p is b else known[b] + after[p[len(b) :]]) if x else next(others) for p, b, x in zip(pieces, bases, plain, strict=True)]
 
     def encode_whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -175,15 +185,13 @@ class WordEnd:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = self.take_apart(texts)
-        self.cache.fill([c for c in cut if c])
-        get = self.cache.__getitem__
-        return [np.array(self.encode_whole(x), dtype="<u4").tobytes() if c is None else b"".join(map(get, c)) for x, c in zip(texts, cut, strict=True)]
+        found = iter(self.cache.look_up([c for c in cut if c is not None]))
+        return [np.array(self.encode_whole(x), dtype="<u4").tobytes() if c is None else b"".join(next(found)) for x, c in zip(texts, cut, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         cut = self.take_apart(texts)
-        self.cache.fill([c for c in cut if c])
-        get = self.cache.__getitem__
-        return [len(self.encode_whole(x)) if c is None else sum(map(get, c)) for x, c in zip(texts, cut, strict=True)]
+        found = iter(self.cache.look_up([c for c in cut if c is not None]))
+        return [len(self.encode_whole(x)) if c is None else sum(next(found)) for x, c in zip(texts, cut, strict=True)]
 
 
 def default_path(name: str) -> str:
