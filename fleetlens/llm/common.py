@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import sys
 import tempfile
@@ -43,7 +44,7 @@ STATES = 3
 
 
 def worker_state(key: Any, build: Callable[[], Any]) -> Any:
-    """What build() returned first in this process; survives from task to task of a reused worker, for the last STATES keys."""
+    """What build() returned first in this process; survives from task to task of a reused worker, for the last STATES keys, until another operator's task (see freed)."""
     held = sys.__dict__.setdefault("_fleetlens_state", {})
     state = held.pop(key, None)
     if state is None:
@@ -63,10 +64,21 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def only_states_of(operator: str) -> None:
+    """Drops what the worker keeps for another operator than that of its next task: one that lives on holds the tables of one operator at a time."""
+    if sys.__dict__.get("_fleetlens_operator") != operator:
+        sys.__dict__["_fleetlens_operator"] = operator
+        if sys.__dict__.pop("_fleetlens_state", None):
+            gc.collect()  # coders and their caches refer to each other
+            give_back()
+
+
 def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives memory back when its task ends, too."""
+    """A function over batches that finds no states of other operators (told by module), and gives memory back when its task ends, too."""
+    operator = run.__module__
 
     def own(batches: Iterator) -> Iterator:
+        only_states_of(operator)
         try:
             yield from run(batches)
         finally:

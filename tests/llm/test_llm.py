@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -430,6 +431,25 @@ def test_near_cases(odd):
     assert near_dedup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_workers_hold_states_of_one_operator(monkeypatch):
+    for name in ("_fleetlens_state", "_fleetlens_operator"):
+        monkeypatch.setattr(sys, name, None, raising=False)
+        delattr(sys, name)
+
+    def task(operator, key):
+        def run(batches):
+            yield common.worker_state(key, lambda: [key])
+
+        run.__module__ = operator
+        return list(common.freed(run)(iter([])))[0]
+
+    coder, other = task("byte_bpe", "coder"), task("byte_bpe", "more")
+    assert task("byte_bpe", "coder") is coder and task("byte_bpe", "more") is other
+    task("near_dedup", "bytes")
+    assert list(sys.__dict__["_fleetlens_state"]) == ["bytes"]
+    assert task("byte_bpe", "coder") == coder
+
+
 def test_word_hashes():
     """One hash a word, wherever it stands and however long it is; other words have others."""
     rng, seen, other = random.Random(8), {}, {}
